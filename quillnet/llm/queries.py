@@ -21,6 +21,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillnet.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.packing import packed
 
@@ -53,8 +59,19 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        ((floor(start + place * share) - floor(start + (place - 1) * share)) * size)::BIGINT AS taken FROM p
 """
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_source_mixing, op10_best_fit_packing)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL}
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS digits FROM p),
+d AS (SELECT page_id, payload_bytes,
+             list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(digits, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), 'string_agg', '') AS payload_digest
+      FROM h),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS chosen FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = chosen THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> chosen THEN chosen END AS refers_to FROM g
+"""
+
+QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_source_mixing, op8_warc, op10_best_fit_packing)}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL}
 
 
 def queries() -> dict:
