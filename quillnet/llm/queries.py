@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillnet.llm.secrets import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.exact_dedup import exact_duplicates
 
@@ -70,7 +76,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = chosen THEN '
        CASE WHEN page_id <> chosen THEN chosen END AS refers_to FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op7_source_mixing, op8_warc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_exact_dedup, op7_source_mixing, op8_warc, op10_best_fit_packing)}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL}
 
 

@@ -1,0 +1,131 @@
+"""Secrets in texts, by Spark functions alone.
+
+Three kinds are known by their form (assign, access, hex). A fourth, entropy, takes candidate strings of one
+character class and slides a window over them: the counts of the characters in the window change by one character
+out and one in, and with them the Shannon entropy; a candidate whose best window reaches its class's threshold is a
+secret unless the allow-list knows its form. The list suppresses only this kind.
+
+Spans are [start, end) in code points. Positions come from the text's parts between matches: the parts and the
+matches of one pattern alternate, so their lengths add up to every match's place.
+
+Defined results: null text is empty and has no spans; repeated rows are scanned each on its own; an empty table gives
+an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The patterns of the three base kinds, and the least length of what they must match.
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_WORDS = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
+ASSIGN_LEAST = 12
+#: A run that is too short can be skipped by asking for the length at once: runs of one class are maximal.
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
+
+KINDS = ("assign", "access", "hex", "entropy")
+#: Candidates: runs of these characters, at least as long as the window.
+WINDOW = 20
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Classes of candidates, first that fits, and the entropy in bits a window must reach.
+CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F-]+$", 3.0), (r"^[a-z_=/+-]+$|^[A-Z_=/+-]+$|^[A-Za-z][a-z_=/+-]+$", 9.0), (r"^[A-Z0-9+/_=-]+$", 3.6), (r"^.*$", 3.9))
+#: Forms that are no secrets however mixed they are: UUIDs, dates, paths of words, names with a running number, data of one repeated unit.
+ALLOWED = (
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9A-Za-z_-]*$",
+    r"^/?(?:[A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,6}$",
+    r"^[A-Za-z]+[0-9]{1,6}$",
+    r"^(.{1,8}?)\1+$",
+    r"EXAMPLE",
+)
+
+
+def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
+    """Array of (start, kind, end, hit) of all matches, by the lengths of the parts between them."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def step(state: Column, n: Column) -> Column:
+        start = state["at"] + F.length(F.element_at(gaps, n))
+        hit = F.element_at(hits, n)
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
+        return F.struct((start + F.length(hit)).alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+    walked = F.aggregate(F.sequence(F.lit(1), F.size(hits)), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
+    out = F.when(F.size(hits) > 0, walked).otherwise(none)
+    return F.filter(out, lambda x: keep(x["hit"])) if keep else out
+
+
+def bits(count: Column) -> Column:
+    """A character's share of the sum that entropy comes from: c * log2(c)."""
+    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+
+
+def best_entropy(s: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits, of a window over the ASCII string ``s``, by counts that change by two characters a step."""
+    code = lambda at: F.ascii(F.substr(s, at, F.lit(1)))  # noqa: E731  1 to 127, also the place of its count
+
+    def moved(counts: Column, at: Column, by: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), at - 1), F.array(F.element_at(counts, at) + by), F.slice(counts, at + 1, F.lit(127) - at))
+
+    def entered(state: Column, n: Column) -> Column:
+        c = code(n)
+        had = F.element_at(state["counts"], c)
+        return F.struct(moved(state["counts"], c, 1).alias("counts"), (state["sum"] - bits(had) + bits(had + 1)).alias("sum"), state["least"].alias("least"))
+
+    def slid(state: Column, n: Column) -> Column:
+        out = code(n - window)
+        less = F.element_at(state["counts"], out)
+        left = F.struct(moved(state["counts"], out, -1).alias("counts"), (state["sum"] - bits(less) + bits(less - 1)).alias("sum"), state["least"].alias("least"))
+        return entered(left, n)
+
+    def noted(state: Column, n: Column) -> Column:
+        now = F.when(n <= window, entered(state, n)).otherwise(slid(state, n))
+        return F.struct(now["counts"].alias("counts"), now["sum"].alias("sum"), F.when(n >= window, F.least(now["least"], now["sum"])).otherwise(now["least"]).alias("least"))
+
+    start = F.struct(F.array_repeat(F.lit(0), 127).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
+    import math
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, noted, lambda x: F.lit(math.log2(window)) - x["least"] / F.lit(float(window)))
+
+
+def is_secret(s: Column) -> Column:
+    """Whether a candidate's best window reaches the threshold of its class and no allowed form fits."""
+    least = None
+    for pattern, value in CLASSES:
+        least = F.when(s.rlike(pattern), F.lit(value)) if least is None else least.when(s.rlike(pattern), F.lit(value))
+    allowed = F.lit(False)
+    for pattern in ALLOWED:
+        allowed = allowed | s.rlike(pattern)
+    return F.when(least > 8, F.lit(False)).when(allowed, F.lit(False)).otherwise(best_entropy(s) >= least - F.lit(1e-9))
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
+
+
+def secret_spans(docs: DataFrame) -> DataFrame:
+    """doc_id and the arrays assign, access, hex, entropy of (start, kind, end, hit) for each row of ``docs``."""
+    text = F.col("text")
+    long_enough = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_LEAST
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select(
+        "doc_id",
+        F.when(text.rlike(ASSIGN_WORDS), spans_of(text, ASSIGN, 0, long_enough)).otherwise(none).alias("assign"),
+        F.when(text.contains("AKIA"), spans_of(text, ACCESS, 1)).otherwise(none).alias("access"),
+        F.when(text.rlike(HEX), spans_of(text, HEX, 2)).otherwise(none).alias("hex"),
+        F.when(text.rlike(CANDIDATE), spans_of(text, CANDIDATE, 3, is_secret)).otherwise(none).alias("entropy"),
+    )
+
+
+def secret_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans."""
+    base = F.concat("assign", "access", "hex")
+    return secret_spans(docs).select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.concat(base, "entropy")).alias("spans")
+    )
