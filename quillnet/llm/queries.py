@@ -9,6 +9,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillnet.llm.toxicity import fitted, scored
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 == 0
+    model = fitted(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    return scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.secrets import secret_digests
 
@@ -21,6 +32,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillnet.llm.pii import personal_digests
+
+    return personal_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.mixing import mixed
 
@@ -76,7 +93,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = chosen THEN '
        CASE WHEN page_id <> chosen THEN chosen END AS refers_to FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_exact_dedup, op7_source_mixing, op8_warc, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_exact_dedup, op6_pii, op7_source_mixing, op8_warc, op10_best_fit_packing)}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL}
 
 
