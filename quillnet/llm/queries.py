@@ -50,6 +50,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillnet.llm.ngram_join import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.packing import packed
 
@@ -93,8 +99,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = chosen THEN '
        CASE WHEN page_id <> chosen THEN chosen END AS refers_to FROM g
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_exact_dedup, op6_pii, op7_source_mixing, op8_warc, op10_best_fit_packing)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL}
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams FROM w),
+n AS (SELECT doc_id, len(grams) AS n_shingles FROM s),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n_shingles + b.n_shingles - shared)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY ALL
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_exact_dedup, op6_pii, op7_source_mixing, op8_warc, op9_ngram_join, op10_best_fit_packing)}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_ngram_join": OP9_SQL}
 
 
 def queries() -> dict:
