@@ -32,6 +32,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillnet.llm.vector_join import vector_links
+
+    return vector_links(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.pii import personal_digests
 
@@ -111,8 +117,18 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l
 SELECT n.doc_id, n.n_shingles::BIGINT AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY ALL
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_exact_dedup, op6_pii, op7_source_mixing, op8_warc, op9_ngram_join, op10_best_fit_packing)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_ngram_join": OP9_SQL}
+OP5_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE list_dot_product(x, x) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) >= 0.95::DOUBLE * a.norm * b.norm),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY 1),
+k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_exact_dedup, op5_vector_join, op6_pii, op7_source_mixing, op8_warc, op9_ngram_join, op10_best_fit_packing)}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op5_vector_join": OP5_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_ngram_join": OP9_SQL}
 
 
 def queries() -> dict:
