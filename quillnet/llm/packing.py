@@ -14,9 +14,13 @@ are packed each on its own; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from array import array
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +29,16 @@ from quillnet.llm.common import cut, ranked
 
 CAPACITY, END = 4096, 1
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+#: Words encoded as one text.
+AT_ONCE = 1000
+#: Marks that the tokenizer parts from letters beside them; not the apostrophe, which starts some of its tokens.
+MARKS = ".,;:!?()[]{}<>*%$&#\"=+/-_"
+_worded = re.compile(rf"([{re.escape(MARKS)}]*)([^\W\d_]+)([{re.escape(MARKS)}]*)").fullmatch
 PIECE = "doc_id long, piece long, start long, length long, ids_crc32 long"
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _tokenizers: dict = {}
+_ends: dict[int, np.ndarray] = {}
 
 
 def default_vocabulary() -> str:
@@ -37,6 +47,49 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoded(parts: list[str], tokenizer) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def encoded_words(words: list[str], tokenizer) -> list[bytes]:
+    """Ids of words of lower-case letters alone, many in one text: the last token of a word, and no other, ends in </w>."""
+    if id(tokenizer) not in _ends:
+        vocabulary = tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        _ends[id(tokenizer)] = last
+    out = []
+    for at in range(0, len(words), AT_ONCE):
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words[at : at + AT_ONCE])], add_special_tokens=False)[0].ids, np.uint32)
+        raw, begin = ids.tobytes(), 0
+        for end in (4 * np.flatnonzero(_ends[id(tokenizer)][ids]) + 4).tolist():
+            out.append(raw[begin:end])
+            begin = end
+    return out
+
+
+def learn(new: set[str], known: dict[str, bytes], cores: dict[str, bytes], tokenizer) -> None:
+    """Puts the ids of new parts into ``known``. Most are a word between marks, which the tokenizer always parts;
+    their letters are looked up, or encoded, once for all cases and marks. All others are encoded as they are."""
+    plain, whole, words = [], [], set()
+    for part in new:
+        if m := _worded(part):
+            lead, core, trail = m.groups()
+            low = core.lower()
+            if low in cores or low.isascii() or low.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", low):
+                plain.append((part, lead, low, trail))
+                words.add(low)
+                continue
+        whole.append(part)
+    words.difference_update(cores)
+    marks = {x for p in plain for x in (p[1], p[3])}.difference(known, whole)
+    for xs, to, how in ((list(words), cores, encoded_words), ([*whole, *marks], known, encoded)):
+        if xs:
+            to.update(zip(xs, how(xs, tokenizer), strict=True))
+    for part, lead, low, trail in plain:
+        known[part] = known[lead] + cores[low] + known[trail]
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """The little-endian unsigned 32-bit ids of each text. This tokenizer never joins over a blank or a line end, so
     the ids of a text are those of its parts between them, and each distinct part is encoded once."""
@@ -44,16 +97,17 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
 
     if path not in _tokenizers:
         _tokenizers[path] = Tokenizer.from_file(path)
-    known = _known.setdefault(path, {"": b""})
+    known, cores = _known.setdefault(path, ({"": b""}, {}))
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for p in parts for w in p if w not in known})
+    new = set(chain.from_iterable(parts)).difference(known)
     if len(known) + len(new) > KNOWN_WORDS:
         known.clear()
         known[""] = b""
-        new = list({w for p in parts for w in p if w})
+        new = set(chain.from_iterable(parts)) - {""}
+    if len(cores) + len(new) > KNOWN_WORDS:
+        cores.clear()
     if new:
-        for w, e in zip(new, _tokenizers[path].encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
+        learn(new, known, cores, _tokenizers[path])
     return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
@@ -63,8 +117,8 @@ def cut_pieces(path: str, capacity: int, end: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for at in range(0, len(ids), 64):
-                for doc, raw in zip(ids[at : at + 64], token_bytes([t or "" for t in texts[at : at + 64]], path), strict=True):
+            for at in range(0, len(ids), 256):
+                for doc, raw in zip(ids[at : at + 256], token_bytes([t or "" for t in texts[at : at + 256]], path), strict=True):
                     raw += last
                     for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[lo : lo + 4 * capacity]
