@@ -230,6 +230,6 @@ def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
 
 def kept_documents(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """The rows of ``docs`` that own their text, with all their columns."""
-    keep = text_classes(docs, budget).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha")).where("__keep is not null")
+    keep = text_classes(docs, budget).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
     sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, ""), 256)
-    return docs.withColumn("__of", sha).join(keep, (F.col("__of") == F.col("__sha")) & (docs["doc_id"].cast("long") == F.col("__keep")), "left_semi").drop("__of")
+    return docs.withColumn("__of", sha).join(keep, (F.col("__of") == F.col("__sha")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi").drop("__of")

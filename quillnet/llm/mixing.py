@@ -65,4 +65,4 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST, seed: str
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes them."""
     copies = mixed(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return docs.join(copies.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return docs.join(copies.withColumnRenamed("doc_id", "__doc"), docs["doc_id"].eqNullSafe(F.col("__doc"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
