@@ -19,14 +19,16 @@ of a score.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_TOXIC, MOST_CLEAN = 800, 1600
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 5
-WINDOW, EPOCHS, RATE, SEED, FEWEST = 48, 70, 0.4, 7, 4
+WINDOW, EPOCHS, RATE, SEED, FEWEST, FLOOR, DECAY = 48, 40, 1.0, 7, 4, 1e-4, 1e-2
 #: Characters that are read at once.
 CHUNK = 1 << 20
 #: Code points below this have a case and class of their own; those above count as letters.
@@ -42,6 +44,10 @@ def letters() -> np.ndarray:
     return _letters
 
 
+#: Words as Read finds them.
+WORDS = re.compile("(?:[^\\W_]|[\U00010000-\U0010ffff])+")
+
+
 class Read:
     """Texts as arrays: ``gram`` the bucket of each n-gram, ``gram_word`` its word, and for each word its text."""
 
@@ -93,7 +99,7 @@ class Means:
 
     def __init__(self, row: np.ndarray, item: np.ndarray, rows: int, items: int, size: np.ndarray | None = None):
         order = np.argsort(row, kind="stable")
-        self.row, self.item, self.rows, self.items = row[order], item[order], rows, items
+        self.row, self.item, self.rows, self.items = row[order].astype(np.int32), item[order].astype(np.int32), rows, items
         back = np.argsort(self.item, kind="stable")
         self.back_row, back_item = self.row[back], self.item[back]
         self.scale = (1.0 / np.maximum(np.bincount(row, minlength=rows) if size is None else size, 1)).astype(np.float32)[:, None]
@@ -117,53 +123,52 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     none = np.zeros(BUCKETS, np.float32), -60.0
     if len(set(labels)) < 2:
         return none
-    read = Read(texts)
-    at, owner = read.windows()
-    if not len(at):
+    index: dict[str, int] = {}
+    ids = [np.array([index.setdefault(w, len(index)) for w in WORDS.findall(t.lower())], np.int32) for t in texts]
+    if not index:
         return none
-    text_of_word = np.repeat(np.arange(len(texts)), read.text_words)
-    # Only n-grams that several texts have learn; a pair of text and bucket counts once.
-    pair = np.unique(text_of_word[read.gram_word].astype(np.int64) * BUCKETS + read.gram)
-    learns = (np.bincount(pair % BUCKETS, minlength=BUCKETS) >= FEWEST)[:, None]
-    # Equal words are one item.
+    text_words = np.array([len(x) for x in ids])
+    windows = -(-text_words // WINDOW)
+    owner = np.repeat(np.arange(len(texts)), windows)
+    item, text_of_word = np.concatenate(ids), np.repeat(np.arange(len(texts)), text_words)
+    number = np.arange(len(item)) - np.repeat(np.cumsum(text_words) - text_words, text_words)
+    window_of = np.repeat(np.cumsum(windows) - windows, text_words) + number // WINDOW
+    # The n-grams of each distinct word. Only those that several texts have learn.
+    read = Read(list(index))
+    texts_of_word = np.bincount(np.unique(text_of_word.astype(np.int64) * len(index) + item) % len(index), minlength=len(index))
+    learns = (np.bincount(read.gram, texts_of_word[read.gram_word], BUCKETS) >= FEWEST)[:, None]
     keep = learns[read.gram, 0]
-    sums = np.zeros(read.words, np.uint64)
-    np.add.at(sums, read.gram_word, (read.gram.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ** np.uint64(3))
-    _, first, same = np.unique(sums, return_index=True, return_inverse=True)
-    chosen = np.zeros(read.words, bool)
-    chosen[first] = True
-    mine = chosen[read.gram_word]
-    grams = Means(same[read.gram_word[mine]], np.where(keep[mine], read.gram[mine], BUCKETS), len(first), BUCKETS + 1)
-    window_of = np.repeat(np.arange(len(at)), np.diff(np.r_[at, read.words]))
-    pair = np.unique(window_of.astype(np.int64) * len(first) + same)
-    bags = Means(pair // len(first), pair % len(first), len(at), len(first), np.full(len(at), WINDOW))
+    grams = Means(read.gram_word[keep], read.gram[keep], len(index), BUCKETS, np.bincount(read.gram_word, minlength=len(index)))
+    del read, keep, number, text_of_word
+    pair = np.unique(window_of.astype(np.int64) * len(index) + item)
+    bags = Means(pair // len(index), pair % len(index), len(owner), len(index), np.full(len(owner), WINDOW))
     rng = np.random.default_rng(SEED)
-    table = rng.normal(0, 0.05, (BUCKETS + 1, DIM)).astype(np.float32) * np.r_[learns, [[False]]]
+    table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32) * learns
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     y = np.array(labels)[owner]
     begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     size = np.diff(np.r_[begins, len(owner)])
-    speed = [np.zeros_like(table), np.zeros_like(soft), np.zeros_like(bias)]
-    scale = [0.0, 0.0, 0.0]
+    per_class = np.where(y == 1, sum(labels), len(labels) - sum(labels))
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, soft, bias)]
     for epoch in range(EPOCHS):
         hidden = bags.up(grams.up(table))
         logits = hidden @ soft + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         margin = logits[:, 1] - logits[:, 0]
-        lead = np.exp((margin - np.repeat(np.maximum.reduceat(margin, begins), size)) * min(3.0, 0.1 * epoch))
-        weight = (lead / np.repeat(np.add.reduceat(lead, begins), size) / len(labels)).astype(np.float32)
+        lead = np.exp((margin - np.repeat(np.maximum.reduceat(margin, begins), size)) * min(2.0, 0.1 * epoch))
+        weight = (lead / np.repeat(np.add.reduceat(lead, begins), size) * 0.5 / per_class).astype(np.float32)
         grad = p.copy()
         grad[np.arange(len(y)), y] -= 1
         grad *= weight[:, None]
         grads = [grams.down(bags.down(grad @ soft.T)), hidden.T @ grad, grad.sum(0)]
-        grads[0][BUCKETS] = 0
-        # One step size for a whole parameter: n-grams of many texts move, those of a few hardly do.
-        for k, (param, g) in enumerate(zip((table, soft, bias), grads, strict=True)):
-            scale[k] = max(0.9 * scale[k], float(np.sqrt((g * g).sum())))
-            speed[k] = 0.8 * speed[k] + g / (scale[k] + 1e-12)
-            param -= (RATE * (40.0, 2.0, 2.0)[k] * (1 - epoch / EPOCHS)) * speed[k]
-    return (table @ (soft[:, 1] - soft[:, 0]))[:BUCKETS], float(bias[1] - bias[0])
+        for param, g, (m, v), floor in zip((table, soft, bias), grads, moments, (FLOOR, 1e-4, 1e-4), strict=True):
+            m += 0.2 * (g - m)
+            v += 0.05 * (g * g - v)
+            # The floor keeps n-grams that few texts have, whose gradients are small, from moving like the others.
+            param -= RATE * (1 - epoch / EPOCHS) * m / (np.sqrt(v / (1 - 0.95 ** (epoch + 1))) + floor)
+        table *= 1 - DECAY
+    return table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
 def score(texts: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
