@@ -103,6 +103,14 @@ def edge_policy_filter(spark, sf):
     return policy.visible(*graph(spark, sf))[1].select("src", "rel", "dst")
 
 
+#: The two visible parts of lowest key, as seeds.
+SEEDS = "sd AS (SELECT id, k FROM (SELECT id, row_number() OVER (ORDER BY substr(id,6)::INT)-1 k FROM vn WHERE id LIKE 'part-%') WHERE k<2)"
+
+
+def first_parts(nodes: DataFrame) -> list[str]:
+    return [r["id"] for r in nodes.where("id like 'part-%'").orderBy(F.substring("id", 6, 20).cast("int")).limit(2).select("id").collect()]
+
+
 BOTH = "SELECT src a, dst b FROM edges WHERE rel<>'contains' UNION SELECT dst, src FROM edges WHERE rel<>'contains'"
 
 
@@ -112,20 +120,21 @@ def reach_depth2(spark, sf):
     return traverse.reach(edges, spark.createDataFrame([("part-0",)], "id string"), 2)
 
 
-@query(f"""WITH {N}, {VISIBLE}, s AS (SELECT id, row_number() OVER (ORDER BY k) - 1 parent, id root FROM (VALUES ('part-1',0),('part-3',1)) t(id,k)),
+@query(f"""WITH {N}, {VISIBLE}, {SEEDS}, s AS (SELECT id, k parent, id root FROM sd),
 m AS (SELECT src near, dst far, rel, 'out' way FROM ve UNION ALL SELECT dst, src, rel, 'in' FROM ve),
 f AS (SELECT far id, arg_min(s.root, (s.parent, m.rel, m.far, m.way)) root FROM m JOIN s ON m.near=s.id WHERE far NOT IN (SELECT id FROM s) GROUP BY 1)
 SELECT x.id, vn.label, x.depth, x.root FROM (SELECT id, 0 depth, root FROM s UNION ALL SELECT id, 1, root FROM f) x JOIN vn USING (id)""")
 def expand_depth1(spark, sf):
-    return traverse.expanded(*policy.visible(*graph(spark, sf)), ["part-1", "part-3"], depth=1, limit=500)
+    nodes, edges = policy.visible(*graph(spark, sf))
+    return traverse.expanded(nodes, edges, first_parts(nodes), depth=1, limit=500)
 
 
 PPR_STEPS = 20
 
 
 def ppr_sql() -> str:
-    head = f"""WITH {N}, {VISIBLE}, w AS (SELECT src u, dst v, sum(CASE rel WHEN 'prerequisite-for' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END) w FROM ve GROUP BY 1,2),
-p AS MATERIALIZED (SELECT u, v, w/sum(w) OVER (PARTITION BY u) p FROM w), n AS MATERIALIZED (SELECT id, CASE id WHEN 'part-1' THEN 2.0::DOUBLE/3 WHEN 'part-3' THEN 1.0::DOUBLE/3 ELSE 0::DOUBLE END r, id IN (SELECT u FROM p) flows FROM vn), s0 AS (SELECT id, r, flows, r s FROM n)"""
+    head = f"""WITH {N}, {VISIBLE}, {SEEDS}, w AS (SELECT src u, dst v, sum(CASE rel WHEN 'prerequisite-for' THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END) w FROM ve GROUP BY 1,2),
+p AS MATERIALIZED (SELECT u, v, w/sum(w) OVER (PARTITION BY u) p FROM w), n AS MATERIALIZED (SELECT id, coalesce((SELECT (2-k)/3.0::DOUBLE FROM sd WHERE sd.id=vn.id), 0::DOUBLE) r, id IN (SELECT u FROM p) flows FROM vn), s0 AS (SELECT id, r, flows, r s FROM n)"""
     for k in range(PPR_STEPS):
         head += f""",
 s{k + 1} AS MATERIALIZED (SELECT a.id, a.r, a.flows, 0.15::DOUBLE*a.r + 0.85::DOUBLE*(coalesce(c.s,0) + l.s*a.r) s FROM s{k} a LEFT JOIN (SELECT v, sum(s*p) s FROM p JOIN s{k} ON u=id GROUP BY 1) c ON c.v=a.id, (SELECT coalesce(sum(s),0) s FROM s{k} WHERE NOT flows) l)"""
@@ -135,7 +144,8 @@ s{k + 1} AS MATERIALIZED (SELECT a.id, a.r, a.flows, 0.15::DOUBLE*a.r + 0.85::DO
 @query(ppr_sql())
 def ppr_20(spark, sf):
     nodes, edges = policy.visible(*graph(spark, sf))
-    return traverse.pagerank(nodes, edges, {"part-1": 2.0, "part-3": 1.0, "part-none": 1.0}, iterations=PPR_STEPS, tolerance=0.0, limit=None).where("score > 1e-8").withColumn("score", F.round("score", 9))
+    first, second = first_parts(nodes)
+    return traverse.pagerank(nodes, edges, {first: 2.0, second: 1.0, "part-none": 1.0}, iterations=PPR_STEPS, tolerance=0.0, limit=None).where("score > 1e-8").withColumn("score", F.round("score", 9))
 
 
 @query("WITH RECURSIVE m AS (SELECT p_partkey a, p_partkey+7 b FROM part WHERE p_partkey%3=0 AND p_partkey+7 IN (SELECT p_partkey FROM part)), e AS (SELECT a,b FROM m UNION SELECT b,a FROM m), r AS (SELECT a x, a y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a=r.y) SELECT 'part-'||x node, min('part-'||y) component FROM r GROUP BY 1")
@@ -387,7 +397,7 @@ def rank_fusion(spark, sf):
 
 @query()
 def retrieval_plan(spark, sf):
-    plan = Plan(question="which parts follow", identity_queries=["part-1", "Supplier#000000003"], lexical_queries=["supplier#000000002 brand#12"], max_depth=1, limit=25)
+    plan = Plan(question="which parts follow", identity_queries=[first_parts(policy.visible(*graph(spark, sf))[0])[0], "Supplier#000000003"], lexical_queries=["supplier#000000002 brand#12"], max_depth=1, limit=25)
     return execute(*graph(spark, sf), plan)[0].withColumn("score", F.round("score", 12))
 
 
