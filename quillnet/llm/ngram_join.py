@@ -9,11 +9,13 @@ fragment of the order gets the prefix n-grams that fall into it and names, for e
 smallest of them as leader. A document meets those whose leader it shares; these are stars, so their number grows
 with the documents however often an n-gram occurs.
 
-Counting: the members of a leader, in blocks of similar size, are compared fragment by fragment: the overlaps of all
-pairs within a fragment of the order are counted separately and summed for each pair, and pairs that the fragments
-to come cannot lift to the threshold no longer count. A group larger than a block becomes cells of two blocks;
-cells whose sizes rule out every pair are left out. A cell gives a forest that connects what it linked, never its
-pairs, and components follow from the forests.
+Counting: members that meet are compared fragment by fragment: the overlaps of all pairs within a fragment of the
+order are counted separately and summed for each pair, and pairs that what is still to come cannot lift to the
+threshold no longer count. This is done twice. First with the prefixes of a leader's members alone: what lies behind
+a prefix bounds the rest of the overlap, which rules out documents that share a passage and no more. Documents that
+remain connected form a component, in which whole sets are compared, so a whole set travels once. A group larger
+than a block becomes cells of two blocks of similar sizes; cells whose sizes rule out every pair are left out. A cell
+gives a forest that connects what it linked, never its pairs, and components follow from the forests.
 
 Two sets link when their intersection is at least ``num / den`` of their union, in whole numbers. Two n-grams of one
 pair that share a 64-bit hash would be taken as one; that has a chance of about 1e-12 for two sets of 4,000.
@@ -37,6 +39,8 @@ from quillnet.llm.common import connected_components, cut, ranked, shuffle_parts
 
 #: Counters of the corpus sketch and the parts in which they travel.
 SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: Bits of the filter that keeps documents which meet none from being moved; it only saves work.
+SIEVE_BITS = 23
 #: Members of a block; a cell holds two.
 BLOCK = 512
 #: Columns of a fragment while a cell is counted.
@@ -122,9 +126,10 @@ def in_chunks(batches, width: int):
 
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+PREFIXES = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("grams", pa.binary())])
 POSTINGS = pa.schema([("fragment", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
 STARS = pa.schema([("leader", pa.int64()), ("member", pa.int64())])
-MEMBERS = pa.schema([("rep", pa.int64()), ("grams", pa.binary())])
+MEMBERS = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("grams", pa.binary())])
 FOREST = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -190,54 +195,68 @@ def ordered(grams: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[by], keys[by]
 
 
-def prefixes(width: int, num: int, den: int, shared, ranges_bits: int):
-    """The prefix n-grams of each set that the task meets, packed by fragment."""
+def prefixes(width: int, num: int, den: int, shared):
+    """doc_id, size and the keys of the prefix of each set that the task meets, each set once."""
 
     def run(batches):
-        classes, seen = shared.value, set()
-        held: list[tuple] = []
-        count = 0
-
-        def flushed():
-            keys, docs, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            fragment = (keys >> np.uint64(60 - ranges_bits)).astype(np.int64)
-            by = np.argsort(fragment, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(fragment[by]) > 0, True])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                at = by[a:b]
-                yield (int(fragment[at[0]]), keys[at].tobytes(), docs[at].tobytes(), sizes[at].tobytes(), places[at].tobytes())
-
+        seen, rows, held = set(), [], 0
         for doc, grams in in_chunks(batches, width):
             n = len(grams)
             if not n or doc is None or (key := set_key(grams)) in seen:
                 continue
             seen.add(key)
-            take = n - -(-num * n // den) + 1
-            keys = ordered(grams, classes)[1][:take]
-            held.append((keys, np.full(take, doc, np.int64), np.full(take, n, np.int32), np.arange(take, dtype=np.int32)))
-            count += take
-            if count >= HELD:
-                for row in flushed():
-                    yield batch_of([row], POSTINGS)
-                held, count = [], 0
+            keys = ordered(grams, shared.value)[1][: n - -(-num * n // den) + 1]
+            rows.append((doc, n, keys.tobytes()))
+            held += len(keys)
+            if held >= HELD:
+                yield batch_of(rows, PREFIXES)
+                rows, held = [], 0
+        yield batch_of(rows, PREFIXES)
+
+    return run
+
+
+def by_fragment(bits: int):
+    """The prefix n-grams of many documents, packed by fragment."""
+
+    def packed(held):
+        keys, docs, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        fragment = (keys >> np.uint64(60 - bits)).astype(np.int64)
+        by = np.argsort(fragment, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(fragment[by]) > 0, True])
+        return batch_of([(int(fragment[by[a]]), *(x[by[a:b]].tobytes() for x in (keys, docs, sizes, places))) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], POSTINGS)
+
+    def run(batches):
+        held, count = [], 0
+        for batch in batches:
+            for doc, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                keys = np.frombuffer(raw, np.uint64)
+                held.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32)))
+                count += len(keys)
+                if count >= HELD:
+                    yield packed(held)
+                    held, count = [], 0
         if held:
-            for row in flushed():
-                yield batch_of([row], POSTINGS)
+            yield packed(held)
 
     return run
 
 
 def starred(num: int, den: int):
-    """For each n-gram of a fragment that several documents have: its smallest document and each other, once."""
+    """For each n-gram of a fragment that several documents of similar size have: the smallest of them and each other, once."""
 
     def stars(parts):
         keys, docs, sizes, places = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in enumerate((np.uint64, np.int64, np.int32, np.int32)))
-        by = np.lexsort((docs, keys))
+        by = np.lexsort((docs, sizes, keys))
         keys, docs, sizes, places = keys[by], docs[by], sizes[by].astype(np.int64), places[by].astype(np.int64)
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        length = np.diff(np.r_[first, len(keys)])
+        # In the order of sizes a step too large for the threshold parts all before it from all behind.
+        chain = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]) | (sizes[:-1] * den < sizes[1:] * num)])
+        by = np.lexsort((docs, chain))
+        chain, docs, sizes, places = chain[by], docs[by], sizes[by], places[by]
+        first = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
+        length = np.diff(np.r_[first, len(chain)])
         lead = np.repeat(first, length)
-        keep = (np.repeat(length, length) >= 2) & (docs != docs[lead])
+        keep = docs != docs[lead]
         # Of two documents alone the sizes and the places of the n-gram bound the overlap.
         two = np.repeat(length, length) == 2
         reach = np.minimum(sizes - places, sizes[lead] - places[lead])
@@ -260,13 +279,58 @@ def starred(num: int, den: int):
     return run
 
 
+def slots(ids: np.ndarray) -> np.ndarray:
+    """Two places of each id in the sieve."""
+    x = ids.astype(np.int64).view(np.uint64)
+    shift = np.uint64(64 - SIEVE_BITS)
+    return np.concatenate([finished(x + np.uint64(PRIME)) >> shift, finished(x ^ np.uint64(0xD6E8FEB86659FD93)) >> shift]).astype(np.int64)
+
+
+def sieve(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of SIEVE_BITS for the ids of a column, whatever their number: parts are merged by Spark, and SKETCH_PARTS rows of one size come here."""
+    width = (1 << SIEVE_BITS) // SKETCH_PARTS
+
+    def placed(batches):
+        for batch in batches:
+            at = np.unique(slots(np.array(batch.column(0).to_pylist(), np.int64)))
+            part = at // width
+            for k in np.unique(part).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(at[part == k] % width).astype(np.int32).tobytes()], pa.binary())], names=["part", "bits"])
+
+    def merged(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(k, np.zeros(width, bool))[np.frombuffer(raw, np.int32)] = True
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(1 << SIEVE_BITS, bool)
+    for r in ids.where(F.col(column).isNotNull()).select(column).mapInArrow(placed, "part int, bits binary").repartition("part").mapInArrow(merged, "part int, bits binary").collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
+def sieved(rows: DataFrame, sieve_of) -> DataFrame:
+    """The rows whose first column may be among the ids of a sieve; a join that follows is exact."""
+
+    def run(batches):
+        bits = np.unpackbits(sieve_of.value).astype(bool)
+        for batch in batches:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            at = slots(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(known & bits[at[: len(known)]] & bits[at[len(known) :]]))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def members(width: int, shared):
-    """The whole sets, in the global order, of the documents that meet others."""
+    """The whole sets, in the global order, of documents."""
 
     def run(batches):
         rows, held = [], 0
         for doc, grams in in_chunks(batches, width):
-            rows.append((doc, ordered(grams, shared.value)[0].tobytes()))
+            rows.append((doc, len(grams), ordered(grams, shared.value)[1].tobytes()))
             held += 8 * len(grams)
             if held >= 4 << 20:
                 yield batch_of(rows, MEMBERS)
@@ -276,36 +340,41 @@ def members(width: int, shared):
     return run
 
 
-def linked(sets: list[np.ndarray], classes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Matrix of the pairs that reach the threshold: overlaps are counted fragment by fragment and summed."""
+def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Matrix of the pairs that reach the threshold, or may reach it if only the first keys of a set of ``sizes`` are given.
+
+    Overlaps are counted fragment by fragment and summed. Keys stand in the global order. Of two sets cut short, the
+    one whose keys end first bounds what they share behind that end.
+    """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), sizes)
-    every = np.concatenate(sets)
-    keys = (classes[(every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (every >> np.uint64(4))
-    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    given = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(m), given)
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = count >= 2
     column = np.cumsum(common) - 1
     use = common[inverse]
     owner, column = owner[use], column[inverse][use]
     by = np.argsort(column, kind="stable")
     owner, column = owner[by], column[by]
-    both = sizes[:, None] + sizes[None, :]
+    need = num * (sizes[:, None] + sizes[None, :])
+    tail, end = sizes - given, np.array([s[-1] for s in sets])
+    behind = np.where(end[:, None] <= end[None, :], tail[:, None], tail[None, :])
+    able = np.minimum(sizes[:, None], sizes[None, :]) * (num + den) >= need
+    np.fill_diagonal(able, False)
     overlap = np.zeros((m, m), np.float32)
     left = np.bincount(owner, minlength=m)
-    for lo in range(0, int(common.sum()), FRAGMENT):
+    shared = int(common.sum())
+    for lo in range(0, shared, FRAGMENT):
         a, b = np.searchsorted(column, (lo, lo + FRAGMENT))
-        x = np.zeros((m, min(FRAGMENT, int(common.sum()) - lo)), np.float32)
+        x = np.zeros((m, min(FRAGMENT, shared - lo)), np.float32)
         x[owner[a:b], column[a:b] - lo] = 1
         overlap += x @ x.T
         left = left - np.bincount(owner[a:b], minlength=m)
-        most = (overlap + np.minimum(left[:, None], left[None, :])).astype(np.int64)
-        np.fill_diagonal(most, 0)
-        if not (most * (num + den) >= num * both).any():
+        most = overlap.astype(np.int64) + np.minimum(left[:, None], left[None, :]) + behind
+        able &= most * (num + den) >= need
+        if not able.any():
             return np.zeros((m, m), bool)
-    out = overlap.astype(np.int64) * (num + den) >= num * both
-    np.fill_diagonal(out, False)
-    return out
+    return able & (overlap > 0) & ((overlap.astype(np.int64) + behind) * (num + den) >= need)
 
 
 def forest(link: np.ndarray) -> np.ndarray:
@@ -319,24 +388,25 @@ def forest(link: np.ndarray) -> np.ndarray:
         label = new
 
 
-def cells(num: int, den: int, shared):
-    """The forest of every cell; its members come together, sorted by cell."""
+def cells(num: int, den: int):
+    """The forest of every cell; its members come together, sorted by cell and document."""
 
     def joined(rows):
         if len(rows) < 2:
             return []
-        reps = np.array([r for r, _ in rows])
-        label = forest(linked([np.frombuffer(g, np.uint64) for _, g in rows], shared.value, num, den))
+        reps = np.array([r for r, _, _ in rows])
+        label = forest(linked([np.frombuffer(g, np.uint64) for _, _, g in rows], np.array([n for _, n, _ in rows]), num, den))
         return [(int(reps[k]), int(reps[label[k]])) for k in np.flatnonzero(label != np.arange(len(label)))]
 
     def run(batches):
         now, rows, out = None, [], []
         for batch in batches:
-            for *cell, rep, grams in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for *cell, rep, size, grams in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if cell != now:
                     out += joined(rows)
                     now, rows = cell, []
-                rows.append((rep, grams))
+                if not rows or rows[-1][0] != rep:
+                    rows.append((rep, size, grams))
             if len(out) > 4096:
                 yield batch_of(out, FOREST)
                 out = []
@@ -345,8 +415,16 @@ def cells(num: int, den: int, shared):
     return run
 
 
+def compared(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """node and component of what connects when the members of each group are compared by ``sets``."""
+    placed = laid_out(groups, num, den)
+    together = placed.join(sets, "rep").select("leader", "a", "b", "rep", "size", "grams").repartition("leader", "a", "b").sortWithinPartitions("leader", "a", "b", "rep")
+    return connected_components(together.mapInArrow(cells(num, den), ddl(FOREST)))
+
+
 def laid_out(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(leader, a, b, rep): the cells of each group. Groups above a block are cut in the order of set sizes."""
+    groups = groups.select("leader", "rep", "size")
     sized = groups.join(groups.groupBy("leader").agg(F.count("*").alias("members")), "leader")
     small = sized.where(F.col("members") <= BLOCK).select("leader", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "rep")
     large = cut(sized.where(F.col("members") > BLOCK).drop("members"))
@@ -375,23 +453,26 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sets = told.where("part is null").select("doc_id", "n_shingles", "set_key")
     reps = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     known = cut(sets.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
+    named = cut(known.where("rep is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size")))
     bits = max(4, (shuffle_parts(spark) - 1).bit_length())
-    postings = rows.mapInArrow(prefixes(width, num, den, shared, bits), ddl(POSTINGS)).repartition("fragment").sortWithinPartitions("fragment")
-    stars = cut(postings.mapInArrow(starred(num, den), ddl(STARS)).distinct())
-    named = known.where("rep is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size"))
+    starts = cut(rows.mapInArrow(prefixes(width, num, den, shared), ddl(PREFIXES)))
+    postings = starts.mapInArrow(by_fragment(bits), ddl(POSTINGS)).repartition("fragment").sortWithinPartitions("fragment")
+    stars = postings.mapInArrow(starred(num, den), ddl(STARS)).distinct()
     leads, joins = named.select(F.col("doc_id").alias("leader"), F.col("rep").alias("lead")), named.withColumnRenamed("doc_id", "member")
     met = stars.join(leads, "leader").join(joins, "member").where("rep <> lead").select(F.col("lead").alias("leader"), "rep", "size").distinct()
     met = cut(met)
     heads = met.select("leader").distinct().join(named.select(F.col("doc_id").alias("leader"), "size"), "leader").select("leader", F.col("leader").alias("rep"), "size")
-    placed = cut(laid_out(met.unionByName(heads), num, den))
-    wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
-    whole = rows.join(wanted, "doc_id").mapInArrow(members(width, shared), ddl(MEMBERS))
-    together = placed.join(whole, "rep").select("leader", "a", "b", "rep", "grams").repartition("leader", "a", "b").sortWithinPartitions("leader", "a", "b", "rep")
-    found = connected_components(together.mapInArrow(cells(num, den, shared), ddl(FOREST)))
+    meeting = met.select("rep").unionByName(met.select(F.col("leader").alias("rep"))).distinct()
+    standing = cut(named.select("doc_id", "rep").join(meeting, "rep", "left_semi"))
+    begun = sieved(starts, spark.sparkContext.broadcast(sieve(standing, "doc_id"))).join(standing, "doc_id").select("rep", "size", "grams")
+    alive = compared(met.unionByName(heads), begun, num, den)
+    alive = cut(alive.join(named.select(F.col("doc_id").alias("node"), "size"), "node").select(F.col("component").alias("leader"), F.col("node").alias("rep"), "size"))
+    whole = sieved(rows, spark.sparkContext.broadcast(sieve(alive, "rep"))).mapInArrow(members(width, shared), ddl(MEMBERS))
+    found = compared(alive, whole, num, den)
     return known.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def first_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the smallest document of their component, with all their columns."""
-    keep = near_components(docs, width, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == F.col("__keep"), "left_semi")
+    """The rows of ``docs`` that are the smallest document of their component, with all their columns; also those without doc_id."""
+    keep = near_components(docs, width, num, den).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
