@@ -45,8 +45,8 @@ SIEVE_BITS = 23
 BLOCK = 512
 #: Columns of a fragment while a cell is counted.
 FRAGMENT = 1024
-#: Bytes of text shingled at once, and postings a task holds before it hands them on.
-CHUNK, HELD = 1 << 20, 1 << 20
+#: Rows and characters of text shingled at once, and postings a task holds before it hands them on.
+ROWS, CHUNK, HELD = 256, 1 << 19, 1 << 18
 PRIME = 0x9E3779B97F4A7C15 | 1
 _tables: dict = {}
 
@@ -114,15 +114,17 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
 def in_chunks(batches, width: int):
     """(doc_id, set) of every row."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        at = 0
-        while at < len(texts):
-            stop, size = at + 1, len(texts[at])
-            while stop < len(texts) and size + len(texts[stop]) < CHUNK:
-                size += len(texts[stop])
-                stop += 1
-            yield from zip(ids[at:stop], shingle_sets(texts[at:stop], width), strict=True)
-            at = stop
+        for begin in range(0, batch.num_rows, ROWS):
+            few = batch.slice(begin, ROWS)
+            ids, texts = few.column(0).to_pylist(), [t or "" for t in few.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                stop, size = at + 1, len(texts[at])
+                while stop < len(texts) and size + len(texts[stop]) < CHUNK:
+                    size += len(texts[stop])
+                    stop += 1
+                yield from zip(ids[at:stop], shingle_sets(texts[at:stop], width), strict=True)
+                at = stop
 
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
@@ -454,7 +456,7 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     reps = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     known = cut(sets.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
     named = cut(known.where("rep is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size")))
-    bits = max(4, (shuffle_parts(spark) - 1).bit_length())
+    bits = max(4, (shuffle_parts(spark) - 1).bit_length() + 1)
     starts = cut(rows.mapInArrow(prefixes(width, num, den, shared), ddl(PREFIXES)))
     postings = starts.mapInArrow(by_fragment(bits), ddl(POSTINGS)).repartition("fragment").sortWithinPartitions("fragment")
     stars = postings.mapInArrow(starred(num, den), ddl(STARS)).distinct()
