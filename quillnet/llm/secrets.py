@@ -3,7 +3,8 @@
 Three kinds are known by their form (assign, access, hex). A fourth, entropy, takes candidate strings of one
 character class and slides a window over them: the counts of the characters in the window change by one character
 out and one in, and with them the Shannon entropy; a candidate whose best window reaches its class's threshold is a
-secret unless the allow-list knows its form. The list suppresses only this kind.
+secret unless the allow-list knows its form or it reads like words. The list suppresses only this kind. Every class has
+a threshold that random strings of it reach; words and slugs reach it too and are told apart by their letter pairs.
 
 Spans are [start, end) in code points. Positions come from the text's parts between matches: the parts and the
 matches of one pattern alternate, so their lengths add up to every match's place.
@@ -30,17 +31,29 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Classes of candidates, first that fits, and the entropy in bits a window must reach.
-CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F-]+$", 3.0), (r"^[a-z_=/+-]+$|^[A-Z_=/+-]+$|^[A-Za-z][a-z_=/+-]+$", 9.0), (r"^[A-Z0-9+/_=-]+$", 3.6), (r"^.*$", 3.9))
-#: Forms that are no secrets however mixed they are: UUIDs, dates, paths of words, names with a running number, data of one repeated unit.
+CLASSES = ((r"^[0-9]+$", 2.6), (r"^[0-9a-fA-F-]+$", 3.0), (r"^[a-z_=/+-]+$|^[A-Z_=/+-]+$|^[A-Za-z][a-z_=/+-]+$", 3.2), (r"^[A-Z0-9+/_=-]+$", 3.6), (r"^.*$", 3.9))
+#: Forms that are no secrets however mixed they are: UUIDs, dates, names with a running number, data of one repeated unit, the alphabet or digits in order.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9A-Za-z_-]*$",
-    r"^/?(?:[A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,6}$",
     r"^[A-Za-z]+[0-9]{1,6}$",
     r"^(.{1,8}?)\1+$",
+    r"^(?:(?i:abcdefghijklmnopqrstuvwxyz)|0123456789|1234567890|[+/_=-])+$",
     r"EXAMPLE",
 )
 
+#: Letters with separators, perhaps a running number: no secret if they read like words, that is, if enough neighbouring letters are a common pair.
+WORDS = r"^[A-Za-z/_=+-]+[0-9]{0,6}$"
+WORDLIKE = 0.6
+#: Common pairs of letters in English, German, French and Spanish.
+PAIRS = """
+    ab ac ad ai al am an ap ar as at au av ba be bi bl bo br bu ca ce ch ci ck cl co cr ct cu da de di do dr du ea ec ed ee ef eg ei el em en ep er es et
+    ev ew ex fa fe ff fi fl fo fr fu ga ge gh gi gl go gr gu ha he hi ho ht ia ib ic id ie if ig il im in io ip ir is it iv je ju ka ke ki ks kt la ld le
+    li ll lo lt lu ly ma mb me mi mm mo mp mu na nc nd ne ng ni nk nn no ns nt nu oa ob oc od of og oi ol om on oo op or os ot ou ov ow pa pe ph pi pl po
+    pp pr pu qu ra rc rd re ri rk rl rm rn ro rr rs rt ru ry sa sc se sh si sk sl sm sn so sp ss st su ta te th ti to tr ts tt tu ty ua ub uc ud ue ug ui
+    ul um un up ur us ut va ve vi wa we wh wi wn wo ye za ze zu
+"""
+
 
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Array of (start, kind, end, hit) of all matches, by the lengths of the parts between them."""
@@ -91,15 +104,23 @@ def best_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, noted, lambda x: F.lit(math.log2(window)) - x["least"] / F.lit(float(window)))
 
 
+def wordlike(s: Column) -> Column:
+    """Whether ``s`` is letters and separators whose neighbouring letters are mostly common pairs, as in words and slugs."""
+    low = F.lower(s)
+    # Looking ahead counts overlapping pairs.
+    share = F.regexp_count(low, F.lit(f"(?=(?:{'|'.join(PAIRS.split())}))")) >= F.regexp_count(low, F.lit("(?=[a-z]{2})")) * F.lit(WORDLIKE)
+    return s.rlike(WORDS) & s.rlike("[A-Za-z]{2}") & share
+
+
 def is_secret(s: Column) -> Column:
     """Whether a candidate's best window reaches the threshold of its class and no allowed form fits."""
     least = None
     for pattern, value in CLASSES:
         least = F.when(s.rlike(pattern), F.lit(value)) if least is None else least.when(s.rlike(pattern), F.lit(value))
-    allowed = F.lit(False)
+    allowed = wordlike(s)
     for pattern in ALLOWED:
         allowed = allowed | s.rlike(pattern)
-    return F.when(least > 8, F.lit(False)).when(allowed, F.lit(False)).otherwise(best_entropy(s) >= least - F.lit(1e-9))
+    return F.when(allowed, F.lit(False)).otherwise(best_entropy(s) >= least - F.lit(1e-9))
 
 
 def joined(spans: Column) -> Column:

@@ -257,6 +257,25 @@ def test_secret_entropy(spark):
     assert [r.yes for r in got] == [True, True, False, False]
 
 
+def flagged(spark, strings):
+    from pyspark.sql import functions as F
+
+    return [r.yes for r in spark.createDataFrame([(s,) for s in strings], "s string").select(secrets.is_secret(F.col("s")).alias("yes")).collect()]
+
+
+def test_secret_classes(spark):
+    rng = np.random.default_rng(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    # Digits, lower-case hex, single case without and with separators, upper case with digits, mixed.
+    classes = [digits, "0123456789abcdef", lower, upper, lower + "-_=+/", upper + "-_=+/", upper + digits, lower + upper + digits]
+    drawn = ["".join(rng.choice(list(c), 40)) for c in classes for _ in range(5)]
+    capital = ["K" + "".join(rng.choice(list(lower), 39)) for _ in range(5)]
+    docs = table(spark, [(k, f"see {s} there", None) for k, s in enumerate(drawn + capital)])
+    assert all(f"entropy:4:{4 + len(s)}" in r.spans for s, r in zip(drawn + capital, secrets.secret_digests(docs).orderBy("doc_id").collect(), strict=True))
+    plain = ["internationalization", "the-quick-brown-fox-jumps-over", "knowledge/graph/diagnostics", "MAX_INTERNAL_LANE_RESULTS", "Donaudampfschifffahrtsgesellschaft", "enkeitlichenzuversch", "abcdefghijklmnopqrstuvwxyz", "00000000000000000000000", "--------------------------", "a_rather_long_name_0042"]
+    assert not any(flagged(spark, plain))
+
+
 def test_pii(spark, docs):
     df, rows = docs
     forms = [
