@@ -132,6 +132,15 @@ def test_scoped_aliases(graph):
     assert [(r.node, r.surface, r.expansion) for r in align.scoped_aliases(graph[0]).collect()] == [("absolute-continuity", "AC", "Absolute continuity")]
 
 
+def test_long_expansions():
+    words = [c.lower() + "o" * 24 for c in "ABCDEFGHIJKLMNOP"]
+    wide = "graph" + " " * 150 + "data" + "é " * 60 + "base"
+    # A cut at 200 characters would start inside "xgraph" and fit "graph" to the G.
+    cut = "xgraph" + " " * 186 + "data base"
+    for text, short, long in ((" ".join(words), "ABCDEFGHIJKLMNOP", " ".join(words)), (wide, "GDB", wide), (cut, "GDB", cut)):
+        assert [(s, e) for s, e, _ in align.introduced(f"It is so. {text} ({short}) is sold.")] == [(short, long)]
+
+
 def test_align_order(spark, graph):
     one = spark.createDataFrame([("measure", "x", []), ("m2", "MEASURE", []), ("m3", "测度", []), ("m4", "none", []), ("m5", "Measure", [])], "id string, label string, aliases array<string>")
     maps = spark.createDataFrame([("m4", "sigma-algebra", "exact-match", "reviewed"), ("m5", "measure", "different-from", "reviewed")], "subject string, object string, predicate string, status string")
