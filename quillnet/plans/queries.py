@@ -87,6 +87,14 @@ def resolve_labels(spark, sf):
     return found.withColumn("matches", F.array_join(F.slice("matches", 1, 50), ","))
 
 
+@query(f"""WITH {N}, c(position, concept) AS (VALUES {','.join(f"({k},'{v}')" for k, v in CONCEPTS)}),
+f AS (SELECT position, 0 way, id node FROM c JOIN nodes ON id=concept UNION SELECT position, 1, id FROM c JOIN nodes ON lower(label)=lower(concept) UNION SELECT position, 2, id FROM c JOIN (SELECT id, unnest(aliases) a FROM nodes) ON lower(a)=lower(concept)),
+b AS (SELECT *, count(*) OVER (PARTITION BY position) n FROM (SELECT * FROM f QUALIFY way=min(way) OVER (PARTITION BY position)))
+SELECT position, concept, CASE WHEN n IS NULL THEN 'missing' WHEN n>1 THEN 'ambiguous' WHEN way=2 THEN 'alias' ELSE 'exact' END status, node FROM c LEFT JOIN b USING (position)""")
+def resolve_matches(spark, sf):
+    return lookup.resolve_all(P.nodes(spark, sf), spark.createDataFrame(CONCEPTS, "position int, concept string"))
+
+
 @query(f"""WITH {N} SELECT 'node' part, typ AS name, label other, NULL::VARCHAR place FROM nodes WHERE id='part-12' UNION ALL SELECT 'incoming',rel,src,NULL FROM edges WHERE dst='part-12'
 UNION ALL SELECT 'outgoing',rel,dst,NULL FROM edges WHERE src='part-12' UNION ALL SELECT 'backlink','reference',authority,line::VARCHAR FROM refs WHERE target='part-12'""")
 def node_get(spark, sf):

@@ -34,6 +34,14 @@ def test_resolve(spark, graph):
     assert [(r.status, r.matches) for r in lookup.resolve(graph[0], asked).orderBy("position").collect()] == [("exact", ["sigma-algebra"]), ("alias", ["sigma-algebra"]), ("alias", ["measure"]), ("missing", []), ("exact", ["measure"])]
 
 
+def test_resolve_all(spark):
+    nodes = spark.createDataFrame([(f"n{k:04}", "knowledge", f"N {k}", None, ["common"], True, None, None) for k in range(1200)], NODE)
+    asked = spark.createDataFrame([(0, "Common"), (1, "n 7"), (2, "none")], "position int, concept string")
+    rows = lookup.resolve_all(nodes, asked).collect()
+    assert sorted(r.node for r in rows if r.position == 0) == [f"n{k:04}" for k in range(1200)]
+    assert {(r.position, r.status) for r in rows} == {(0, "ambiguous"), (1, "exact"), (2, "missing")} and len(rows) == 1202
+
+
 def test_search(graph):
     assert lookup.search(graph[0], "countably additive").first()["id"] == "measure"
     assert lookup.search_all_terms(graph[0], "").count() == 3
