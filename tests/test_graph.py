@@ -156,6 +156,15 @@ def test_align_order(spark, graph):
     assert got == {"measure": ("matched", "id"), "m2": ("matched", "label"), "m3": ("matched", "alias"), "m4": ("matched", "mapping"), "m5": ("unmatched", None)}
 
 
+def test_all_suppliers_are_targets(spark, sf):
+    from quillnet.plans import queries as Q
+
+    ids = {f"supplier-{r.s_suppkey}" for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    asked = {f"supplier-{r.c_custkey}" for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    assert {r.candidate for r in Q.propose_additions(spark, sf).collect()} == asked - ids
+    assert {r.candidate for r in Q.align_suppliers(spark, sf).where("status = 'matched'").collect()} == asked & ids
+
+
 def test_plan_and_context(graph):
     rows, state = execute(*graph, simple_plan("sigma algebra", max_depth=1))
     assert rows.orderBy(F.desc("priority"), F.desc("score")).first()["id"] == "sigma-algebra"
