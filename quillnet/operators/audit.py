@@ -78,3 +78,13 @@ def quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = nodes.where("typ = 'knowledge'").join(fields, "id", "left").join(parents, "id", "left")
     one = rows.agg(F.count_if(F.col("parent").isNull()).alias("no-parent"), F.count_if(F.col("fields").isNull()).alias("no-field"), F.count_if(F.col("fields") > 1).alias("many-fields"))
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, one.columns)), F.array(*[F.col(f"`{c}`") for c in one.columns]))).alias("counter", "n"))
+
+
+def edge_quality(edges: DataFrame) -> DataFrame:
+    """(counter, n): semantic edges whose evidence or confidence is missing: null, blank, or no such column."""
+    rows = edges.where(F.col("rel").isin(list(SEMANTIC)))
+    counts = []
+    for c in ("evidence", "confidence"):
+        blank = F.coalesce(F.col(c).cast("string"), F.lit("")).rlike(r"(?U)^\s*$") if c in edges.columns else F.lit(True)
+        counts.append(F.struct(F.lit(f"missing-{c}").alias("counter"), F.count_if(blank).alias("n")))
+    return rows.agg(F.array(*counts).alias("all")).select(F.inline("all"))

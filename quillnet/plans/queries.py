@@ -206,6 +206,13 @@ def audit_quality(spark, sf):
     return audit.quality(*graph(spark, sf))
 
 
+@query(f"""WITH {N}, e AS (SELECT rel, CASE WHEN src LIKE '%7' THEN ' ' WHEN src LIKE '%9' THEN NULL ELSE src END evidence, CASE WHEN dst LIKE '%3' THEN '' ELSE '0.9' END confidence FROM edges WHERE rel<>'contains')
+SELECT 'missing-evidence' counter, count(*) FILTER (trim(coalesce(evidence,''))='') n FROM e UNION ALL SELECT 'missing-confidence', count(*) FILTER (trim(confidence)='') FROM e""")
+def audit_edge_quality(spark, sf):
+    edges = P.edges(spark, sf).withColumns({"evidence": F.when(F.col("src").like("%7"), " ").when(~F.col("src").like("%9"), F.col("src")), "confidence": F.when(F.col("dst").like("%3"), "").otherwise("0.9")})
+    return audit.edge_quality(edges)
+
+
 @query("SELECT source, count(*) documents, sum(length(text))::BIGINT characters, sum(strlen(text))::BIGINT AS \"bytes\", count(DISTINCT sha256(text)) texts FROM documents GROUP BY 1")
 def document_inventory(spark, sf):
     return audit.inventory(P.table(spark, sf, "documents"))

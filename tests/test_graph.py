@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillnet.functions import text as T
-from quillnet.operators import align, checks, lookup, scan, sync, traverse
+from quillnet.operators import align, audit, checks, lookup, scan, sync, traverse
 from quillnet.operators.components import components, cycle_remainder
 from quillnet.plans.retrieval import Plan, context, execute, simple_plan, size_of
 from quillnet.sources import store
@@ -110,6 +110,14 @@ def test_checks(spark, graph):
     assert {r.code for r in checks.node_form(bad).collect()} == {"invalid-node-id", "unknown-node-type", "unsafe-label-html", "invalid-curation-status"}
 
 
+def test_edge_quality(spark):
+    rows = [("a", "implies", "b", None, "0.5"), ("b", "implies", "c", " \t", ""), ("c", "derived-from", "d", "page 3", None), ("a", "contains", "d", None, None)]
+    edges = spark.createDataFrame(rows, "src string, rel string, dst string, evidence string, confidence string")
+    assert {r.counter: r.n for r in audit.edge_quality(edges).collect()} == {"missing-evidence": 2, "missing-confidence": 2}
+    assert {r.counter: r.n for r in audit.edge_quality(edges.drop("confidence")).collect()} == {"missing-evidence": 2, "missing-confidence": 3}
+    assert {r.n for r in audit.edge_quality(edges.limit(0)).collect()} == {0}
+
+
 def test_scan(spark):
     files = spark.createDataFrame(
         [
