@@ -9,7 +9,7 @@ from quillnet.functions import text as T
 from quillnet.operators import align as A
 from quillnet.operators import audit, checks, lookup, policy, scan, sync, traverse
 from quillnet.operators.components import components, cycle_remainder
-from quillnet.plans.retrieval import Plan, execute, fused
+from quillnet.plans.retrieval import LANE, Plan, execute, fused
 from quillnet.sources import projection as P
 from quillnet.sources import store
 from quillnet.streaming.sync import sessions
@@ -426,9 +426,19 @@ def scoped_aliases(spark, sf):
 
 @query(f"WITH {SCORED}, l AS (SELECT 'lexical' lane, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE score>0), m AS (SELECT 'size' lane, 'doc-'||doc_id id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), u AS (SELECT * FROM l WHERE rank<=100 UNION ALL SELECT * FROM m WHERE rank<=100) SELECT id, round(sum(1.0::DOUBLE/(60+rank)),12) score, string_agg(lane,',' ORDER BY lane) lanes FROM u GROUP BY id")
 def rank_fusion(spark, sf):
+    return fusion(spark, sf, 100)
+
+
+@query(f"WITH {SCORED}, l AS (SELECT 'lexical' lane, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s WHERE score>0), m AS (SELECT 'size' lane, 'doc-'||doc_id id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), u AS (SELECT * FROM l WHERE rank<={LANE} UNION ALL SELECT * FROM m WHERE rank<={LANE}) SELECT id, round(sum(1.0::DOUBLE/(60+rank)),12) score, string_agg(lane,',' ORDER BY lane) lanes FROM u GROUP BY id")
+def rank_fusion_lanes(spark, sf):
+    return fusion(spark, sf, LANE)
+
+
+def fusion(spark, sf, most):
+    """The lexical lane and the lane of sizes, ``most`` rows of each, fused."""
     docs = document_nodes(spark, sf)
-    first = lookup.scores(docs, QUERY).select("id", "score").orderBy(F.desc("score"), "id").limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-    size = P.table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))).select(P.named("doc", "doc_id").alias("id"), "rank")
+    first = lookup.scores(docs, QUERY).select("id", "score").orderBy(F.desc("score"), "id").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    size = P.table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))).select(P.named("doc", "doc_id").alias("id"), "rank")
     lanes = first.select(F.lit("lexical").alias("lane"), "id", "rank").unionByName(size.select(F.lit("size").alias("lane"), "id", "rank"))
     return fused(lanes).select("id", F.round("score", 12).alias("score"), "lanes")
 

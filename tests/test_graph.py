@@ -209,6 +209,13 @@ def test_generations(spark, graph, tmp_path):
     assert store.current(spark, root) == second
 
 
+def test_fusion_takes_whole_lanes(spark, sf):
+    from quillnet.plans import queries as Q
+
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert 100 < n <= 500 and Q.rank_fusion_lanes(spark, sf).where("lanes like '%size'").count() == n
+
+
 def test_stream(spark, tmp_path):
     from quillnet.streaming.sync import start
 
