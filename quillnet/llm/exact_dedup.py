@@ -229,7 +229,12 @@ def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that own their text, with all their columns."""
-    keep = text_classes(docs, budget).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, ""), 256)
-    return docs.withColumn("__of", sha).join(keep, (F.col("__of") == F.col("__sha")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi").drop("__of")
+    """One row of ``docs`` for each distinct text, with all its columns: of the rows whose doc_id owns the text the longest, then by what the row holds."""
+    classes = text_classes(docs, budget).select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"), "group_size")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("__of", F.sha2(F.translate(text, WHITE, ""), 256))
+    owned = lambda keep: rows.join(keep, (F.col("__of") == F.col("__sha")) & rows["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    # Only classes of several rows can hold a doc_id twice; their rows are combined before the shuffle.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = owned(classes.where("group_size > 1")).groupBy("__of").agg(F.min_by(row, F.struct(-F.length(text), F.sha2(F.to_json(row), 256))).alias("__row"))
+    return owned(classes.where("group_size = 1")).drop("__of").unionByName(one.select("__row.*"))

@@ -46,6 +46,12 @@ def test_exact_dedup(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {k for k, b, *_ in want if k == b}
 
 
+def test_exact_dedup_keeps_one_row(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a  b", "x"), (2, "ab", "y"), (None, "c", "x"), (None, "c", "y"), (None, None, "x"), (3, "d", "x"), (3, "e", "x")]
+    want = Counter([(1, "a  b"), (None, None), (3, "d"), (3, "e"), (None, "c")])
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.kept_documents(table(spark, rows)).collect()) == want
+
+
 def test_patricia():
     trie = exact_dedup.Patricia()
     bodies = [b"", b"a", b"ab", b"abc", b"abd", b"b" * 500, b"b" * 499 + b"c", "é".encode(), b"abc"]
