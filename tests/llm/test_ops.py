@@ -120,6 +120,27 @@ def test_packing(docs):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+def test_token_ids_are_the_tokenizers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tokenizer, table = Tokenizer.from_file(path), packing.classed(path)
+    assert table is not None
+    pick = random.Random(1)
+    marks = list("abcdefgstrevmldABCΣσςİıßÉéüö'''''  \n\t.,;:!?0123456789-_<>|½²Ⅷ“”’…—漢字かナ한Ά́　 €ﬁÅ😀 \x1c\x85")
+    words = ["don't", "they're", "'tis", "x's", "''s", "we'll", "'ve", "'", "the", "aΣ", "aς", "internationalization", "<|endoftext|>"]
+    texts = ["".join(pick.choice(marks) if pick.random() < 0.7 else pick.choice(words) + pick.choice(["", " "]) for _ in range(pick.randint(0, 24))) for _ in range(6000)]
+    texts += ["x" * 3000, "-" * 3000, "ab " * 400_000, "", " ", "\n"]
+    together = packing.token_ids(texts, path, table)
+    for text, ids, e in zip(texts, together, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == e.ids == packing.token_ids([text], path, table)[0].tolist(), text[:80]
+    # Without the table all goes through the tokenizer itself.
+    assert packing.token_ids(["Some words, don't they?"], path, None)[0].tolist() == tokenizer.encode("Some words, don't they?", add_special_tokens=False).ids
+    assert packing.classed(path.replace("word_bpe_49k", "byte_bpe_50k")) is None
+
+
 def test_plan_of_lengths():
     rng = np.random.default_rng(0)
     for top in (10, 40, 100):
