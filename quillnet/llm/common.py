@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters counted as white space by the contracts: \x20 and \x09-\x0D.
-WHITE = " \t\n\x0b\x0c\r"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    jsc = spark.sparkContext._jsc.sc()
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf and jsc.getCheckpointDir().isDefined():
-        conf = jsc.getCheckpointDir().get()
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="quillnet-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/quillnet-{name}-{uuid.uuid4().hex}"
+from quillnet.functions.lineage import cut, shared_folder, shared_path
+from quillnet.operators.components import components as connected_components
 
+__all__ = ["WHITE", "connected_components", "cut", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from files in the shared folder, so that losing an executor loses nothing before them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Characters counted as white space by the contracts: \x20 and \x09-\x0D.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -64,31 +42,3 @@ def ranked(df: DataFrame, groups: list[str], orders: list[str], rank: str) -> Da
         .withColumn(rank, F.col("__row") - F.col("__first") + F.col("__before") + 1)
         .drop("__part", "__row", "__first", "__before")
     )
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v); component is the smallest node reachable.
-
-    Alternates large-star and small-star steps over the edge table until it no longer changes; every round is
-    cut to the shared folder. Minima are combined before the shuffle, and a node with very many neighbours only
-    meets its one minimum, a join that AQE can split.
-    """
-    now = cut(
-        edges.where("u <> v and u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    mark = None
-    for _ in range(rounds):
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if not seen["n"] or (seen["n"], seen["h"]) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        mark = (seen["n"], seen["h"])
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

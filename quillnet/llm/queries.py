@@ -26,6 +26,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillnet.llm.chat import rendered
+
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillnet.llm.exact_dedup import exact_duplicates
 
@@ -68,6 +74,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+d AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS digest FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS place FROM d),
+c AS (SELECT conv_id, list(digest ORDER BY place) AS turns FROM p GROUP BY conv_id),
+b AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)),
+m AS (SELECT min(conv_id) AS conv_id, count(*) AS copies FROM c WHERE turns NOT IN (SELECT turns FROM b) GROUP BY turns)
+SELECT p.conv_id, ((place - 1) // 64)::INT AS piece, ((place - 1) // 64 * 64)::BIGINT AS first_turn, count(*)::BIGINT AS n_turns, copies::BIGINT AS copies,
+       string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM p JOIN m ON p.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY ALL
+"""
+
 OP4_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS keep_id,
@@ -127,8 +145,8 @@ k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
 SELECT c.vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN k USING (vec_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op4_exact_dedup, op5_vector_join, op6_pii, op7_source_mixing, op8_warc, op9_ngram_join, op10_best_fit_packing)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op5_vector_join": OP5_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_ngram_join": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secret_scan, op3_chat_formatting, op4_exact_dedup, op5_vector_join, op6_pii, op7_source_mixing, op8_warc, op9_ngram_join, op10_best_fit_packing)}
+ORACLES = {"op3_chat_formatting": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_vector_join": OP5_SQL, "op7_source_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op9_ngram_join": OP9_SQL}
 
 
 def queries() -> dict:
