@@ -26,8 +26,8 @@ from quillnet.llm.common import WHITE, cut
 TRIE_BYTES = 48 << 20
 #: Rows and bytes of an output batch.
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
-#: Rounds in which subtrees that left a trie are taken up again.
-MAX_ROUNDS = 40
+#: A class is hot when it has more than one row in so many; there are fewer such classes than that.
+MOST_HOT = 1000
 
 ENTRY = "size long, hash long, body binary, chars long, doc_id long, copies long, settled boolean"
 
@@ -35,10 +35,10 @@ ENTRY = "size long, hash long, body binary, chars long, doc_id long, copies long
 class Node:
     """A trie node: the bytes on the edge to it, its children by first byte, and the owner when a text ends here."""
 
-    __slots__ = ("label", "kids", "chars", "doc", "copies", "gone")
+    __slots__ = ("label", "kids", "chars", "doc", "copies")
 
     def __init__(self, label: bytes):
-        self.label, self.kids, self.copies, self.gone = label, {}, 0, False
+        self.label, self.kids, self.copies = label, {}, 0
         self.chars, self.doc = -1, None
 
     def own(self, chars: int, doc: int | None, copies: int) -> None:
@@ -66,21 +66,18 @@ class Patricia:
     def __init__(self):
         self.root, self.held = Node(b""), 0
 
-    def insert(self, body: bytes, chars: int, doc: int | None, copies: int) -> bool:
-        """Stores the text and gives True; False if it belongs to a subtree that left the trie."""
+    def insert(self, body: bytes, chars: int, doc: int | None, copies: int) -> None:
         node, at = self.root, 0
         while True:
-            if node.gone:
-                return False
             if at == len(body):
                 node.own(chars, doc, copies)
-                return True
+                return
             kid = node.kids.get(body[at])
             if kid is None:
                 kid = node.kids[body[at]] = Node(body[at:])
                 self.held += len(kid.label) + 200
                 kid.own(chars, doc, copies)
-                return True
+                return
             if body.startswith(kid.label, at):
                 node, at = kid, at + len(kid.label)
                 continue
@@ -109,23 +106,28 @@ class Patricia:
             todo.extend(x.kids.values())
         return total
 
-    def spill(self) -> list[tuple[bytes, Node]]:
-        """Takes out the heaviest subtree below the first fork and gives its texts; its root stays, marked. A lone text stays."""
+    def spill(self) -> Iterator[tuple[bytes, Node]]:
+        """Takes out the heaviest subtree below the first fork and gives its texts."""
         node, prefix = self.root, b""
-        while True:
-            live = [k for k in node.kids.values() if not k.gone]
-            if len(live) != 1 or node.copies or not live[0].kids:
+        while len(node.kids) == 1 and not node.copies:
+            (kid,) = node.kids.values()
+            if not kid.kids:
                 break
-            node, prefix = live[0], prefix + live[0].label
-        if not live or len(live) == 1 and not node.copies and not live[0].kids:
-            return []
-        heavy = max(live, key=self.weight)
-        self.held -= self.weight(heavy) - 200
-        out = list(self.entries(heavy, prefix))
-        stub = Node(heavy.label)
-        stub.gone = True
-        node.kids[heavy.label[0]] = stub
-        return out
+            node, prefix = kid, prefix + kid.label
+        if node.kids:
+            heavy = max(node.kids.values(), key=self.weight)
+            del node.kids[heavy.label[0]]
+            self.held -= self.weight(heavy)
+            yield from self.entries(heavy, prefix)
+        else:
+            yield from self.entries()
+            self.root, self.held = Node(b""), 0
+
+    def relieved(self, budget: int) -> Iterator[tuple[bytes, Node]]:
+        """The texts of subtrees that leave a trie above the budget, until it holds half."""
+        if self.held > budget:
+            while self.held > budget // 2:
+                yield from self.spill()
 
 
 class Batches:
@@ -158,13 +160,8 @@ def combined(budget: int):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 trie.insert(b"".join(raw.split()), len(text or ""), doc, 1)
-                while trie.held > budget:
-                    gone = trie.spill()
-                    if not gone:
-                        break
-                    for body, x in gone:
-                        yield from out.add(body, x.chars, x.doc, x.copies, False)
-                    trie = reopened(trie)
+                for body, x in trie.relieved(budget):
+                    yield from out.add(body, x.chars, x.doc, x.copies, False)
         for body, x in trie.entries():
             yield from out.add(body, x.chars, x.doc, x.copies, False)
         yield from out.flush()
@@ -172,33 +169,21 @@ def combined(budget: int):
     return run
 
 
-def reopened(trie: Patricia) -> Patricia:
-    """Without the marks of subtrees that left: in the first step a text may come again."""
-    todo = [trie.root]
-    while todo:
-        x = todo.pop()
-        for k in [k for k, v in x.kids.items() if v.gone]:
-            del x.kids[k]
-        todo.extend(x.kids.values())
-    return trie
-
-
 def owners(budget: int):
-    """The trie over a partition. Texts of subtrees that left it go on, unsettled, to the next round's partitions."""
+    """The trie over a partition in the order of length and hash. Equal texts come together, so whatever the trie holds of
+    earlier keys is complete: a trie above the budget gives up subtrees as settled when the next key comes, and a partition
+    may hold any number of texts."""
 
     def run(batches):
-        trie, out = Patricia(), Batches()
+        trie, out, now = Patricia(), Batches(), None
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("body", "chars", "doc_id", "copies")]
-            for body, chars, doc, copies in zip(*cols, strict=True):
-                if not trie.insert(body, chars, doc, copies):
-                    yield from out.add(body, chars, doc, copies, False)
-                while trie.held > budget:
-                    gone = trie.spill()
-                    if not gone:
-                        break
-                    for full, x in gone:
-                        yield from out.add(full, x.chars, x.doc, x.copies, False)
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("size", "hash", "body", "chars", "doc_id", "copies")]
+            for size, hashed, body, chars, doc, copies in zip(*cols, strict=True):
+                if (size, hashed) != now:
+                    now = (size, hashed)
+                    for full, x in trie.relieved(budget):
+                        yield from out.add(full, x.chars, x.doc, x.copies, True)
+                trie.insert(body, chars, doc, copies)
         for body, x in trie.entries():
             yield from out.add(body, x.chars, x.doc, x.copies, True)
         yield from out.flush()
@@ -209,23 +194,25 @@ def owners(budget: int):
 def text_classes(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """A row for each distinct text: text_sha256, keep_id, group_size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    todo = rows.mapInArrow(combined(budget), ENTRY)
-    settled = None
-    for n in range(MAX_ROUNDS):
-        keys = ["size", "hash"] if not n else ["size", "hash", F.lit(n)]
-        done = cut(todo.repartition(*keys).mapInArrow(owners(budget), ENTRY))
-        found = done.where("settled").select(F.lower(F.hex("body")).alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"))
-        settled = found if settled is None else settled.unionByName(found)
-        todo = done.where("not settled")
-        if todo.isEmpty():
-            return settled
-    raise RuntimeError("a trie's subtrees kept leaving it")
+    dealt = rows.mapInArrow(combined(budget), ENTRY).repartition("size", "hash").sortWithinPartitions("size", "hash")
+    done = cut(dealt.mapInArrow(owners(budget), ENTRY).select("body", "doc_id", "copies"))
+    return done.select(F.lower(F.hex("body")).alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"))
 
 
 def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """A row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    classes = text_classes(docs, budget)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, ""), 256).alias("text_sha256"))
-    return named.join(text_classes(docs, budget), "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    total = classes.agg(F.sum("group_size")).first()[0] or 0
+    # Classes with more than one row in MOST_HOT: fewer than MOST_HOT by their size, so they may be broadcast. Their rows
+    # need no other class, and their keys are spread in the join that follows.
+    large = F.col("group_size") * MOST_HOT > total
+    hot = classes.where(large).select(F.col("text_sha256").alias("hot"), F.struct("keep_id", "group_size").alias("hot_class"))
+    cold = classes.where(~large).select(F.col("text_sha256").alias("key"), F.struct("keep_id", "group_size").alias("cold_class"))
+    told = named.join(F.broadcast(hot), F.col("text_sha256") == F.col("hot"), "left")
+    told = told.withColumn("key", F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.concat_ws("/", F.lit("hot"), F.col("doc_id").cast("string"))))
+    told = told.join(cold, "key", "left").withColumn("c", F.coalesce("hot_class", "cold_class"))
+    return told.select("doc_id", "c.keep_id", "c.group_size", F.col("doc_id").eqNullSafe(F.col("c.keep_id")).alias("kept"), "text_sha256")
 
 
 def kept_documents(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:

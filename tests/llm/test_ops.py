@@ -56,10 +56,21 @@ def test_patricia():
     trie = exact_dedup.Patricia()
     bodies = [b"", b"a", b"ab", b"abc", b"abd", b"b" * 500, b"b" * 499 + b"c", "é".encode(), b"abc"]
     for k, b in enumerate(bodies):
-        assert trie.insert(b, len(b), k, 1)
+        trie.insert(b, len(b), k, 1)
     assert {(b, n.doc, n.copies) for b, n in trie.entries()} == {(b, bodies.index(b), bodies.count(b)) for b in bodies}
-    out = trie.spill()
-    assert out and all(not trie.insert(b, 0, 9, 1) for b, _ in out)
+    out, whole = [], {b for b, _ in trie.entries()}
+    while trie.held > 0 or any(trie.entries()):
+        out += [b for b, _ in trie.spill()]
+    assert set(out) == whole and len(out) == len(whole)
+
+
+def test_exact_dedup_beyond_any_budget(spark):
+    rows = [(k, f"text number {k % 2500} of many", "x") for k in range(3000)] + [(5000 + k, "hot  text", "x") for k in range(500)] + [(6000, "hot text" + " " * 9, "x")]
+    got = exact_dedup.exact_duplicates(table(spark, rows).repartition(2), 3000).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = (6000, 501) if r.doc_id >= 5000 else (r.doc_id % 2500, 2 if r.doc_id % 2500 < 500 else 1)
+        assert (r.keep_id, r.group_size, r.kept) == (*want, r.doc_id == want[0])
 
 
 def test_mixing(docs):
