@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillnet.functions.lineage import cut, shared_folder, shared_path
 from quillnet.operators.components import components as connected_components
 
-__all__ = ["WHITE", "connected_components", "cut", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
+__all__ = ["WHITE", "by_class", "connected_components", "cut", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
 
 #: Characters counted as white space by the contracts: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,3 +42,24 @@ def ranked(df: DataFrame, groups: list[str], orders: list[str], rank: str) -> Da
         .withColumn(rank, F.col("__row") - F.col("__first") + F.col("__before") + 1)
         .drop("__part", "__row", "__first", "__before")
     )
+
+
+#: A class is hot when it has more than one row in so many; there are fewer such classes than that.
+MOST_HOT = 1000
+
+
+def by_class(rows: DataFrame, classes: DataFrame, key: str, many: str) -> DataFrame:
+    """``rows`` with the other columns of ``classes`` (a row for each ``key``, ``many`` its number of rows), as a left join.
+
+    Hot classes are broadcast: by their size there are fewer than MOST_HOT. The rows that meet one need no other, and
+    are spread in the join that follows, so a key of a third of all rows is in no one task.
+    """
+    total = classes.agg(F.sum(many)).first()[0] or 0
+    large = F.col(many) * MOST_HOT > total
+    held = F.struct(*[c for c in classes.columns if c != key])
+    hot = classes.where(large).select(F.col(key).alias("__hot"), held.alias("__hot_class"))
+    cold = classes.where(~large).select(F.col(key).alias("__key"), F.lit(0).cast("long").alias("__zero"), held.alias("__cold_class"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    met = met.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).cast("long"))
+    met = met.join(cold, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left").withColumn("__class", F.coalesce("__hot_class", "__cold_class"))
+    return met.select(*rows.columns, *[F.col("__class")[c].alias(c) for c in classes.columns if c != key])

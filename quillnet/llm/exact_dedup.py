@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import WHITE, cut
+from quillnet.llm.common import WHITE, by_class, cut
 
 #: Bytes of labels that a trie holds before its largest subtree leaves it.
 TRIE_BYTES = 48 << 20
 #: Rows and bytes of an output batch.
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
-#: A class is hot when it has more than one row in so many; there are fewer such classes than that.
-MOST_HOT = 1000
 
 ENTRY = "size long, hash long, body binary, chars long, doc_id long, copies long, settled boolean"
 
@@ -203,16 +201,8 @@ def exact_duplicates(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """A row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     classes = text_classes(docs, budget)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), WHITE, ""), 256).alias("text_sha256"))
-    total = classes.agg(F.sum("group_size")).first()[0] or 0
-    # Classes with more than one row in MOST_HOT: fewer than MOST_HOT by their size, so they may be broadcast. Their rows
-    # need no other class, and their keys are spread in the join that follows.
-    large = F.col("group_size") * MOST_HOT > total
-    hot = classes.where(large).select(F.col("text_sha256").alias("hot"), F.struct("keep_id", "group_size").alias("hot_class"))
-    cold = classes.where(~large).select(F.col("text_sha256").alias("key"), F.struct("keep_id", "group_size").alias("cold_class"))
-    told = named.join(F.broadcast(hot), F.col("text_sha256") == F.col("hot"), "left")
-    told = told.withColumn("key", F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.concat_ws("/", F.lit("hot"), F.col("doc_id").cast("string"))))
-    told = told.join(cold, "key", "left").withColumn("c", F.coalesce("hot_class", "cold_class"))
-    return told.select("doc_id", "c.keep_id", "c.group_size", F.col("doc_id").eqNullSafe(F.col("c.keep_id")).alias("kept"), "text_sha256")
+    told = by_class(named, classes, "text_sha256", "group_size")
+    return told.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def kept_documents(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:

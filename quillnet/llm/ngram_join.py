@@ -1,7 +1,7 @@
 """Set-similarity self-join of documents on word n-grams, by vertical partitioning.
 
-A document's set holds its distinct word n-grams, hashed to 64 bits; documents of equal sets are one class from the
-start. All n-grams stand in one global order: frequent ones last, by a count sketch of the whole corpus, and by hash
+A document's set holds its distinct word n-grams, hashed to 64 bits; documents of equal sets (by a 128-bit digest of all
+hashes) are one class from the start. All n-grams stand in one global order: frequent ones last, by a count sketch of the whole corpus, and by hash
 within. The order is cut into fragments twice.
 
 Candidates: two sets that reach the threshold share an n-gram among the first few of each (their prefix). Each
@@ -17,8 +17,9 @@ remain connected form a component, in which whole sets are compared, so a whole
 than a block becomes cells of two blocks of similar sizes; cells whose sizes rule out every pair are left out. A cell
 gives a forest that connects what it linked, never its pairs, and components follow from the forests.
 
-Two sets link when their intersection is at least ``num / den`` of their union, in whole numbers. Two n-grams of one
-pair that share a 64-bit hash would be taken as one; that has a chance of about 1e-12 for two sets of 4,000.
+Two sets link when their intersection is at least ``num / den`` of their union, in whole numbers. Sets are
+compared by 60 bits of each hash, beside the class of its frequency: two different n-grams of one pair are taken as one
+with a chance of about 1e-11 for two sets of 4,000.
 
 Defined results: null and blank texts have an empty set and link with nothing; a text of fewer words than an n-gram
 is one n-gram; equal doc_ids are one document for links; a null doc_id never leads and takes the component of its
@@ -35,37 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import connected_components, cut, ranked, shuffle_parts
+from quillnet.llm.common import by_class, connected_components, cut, ranked, shuffle_parts
 
-#: Counters of the corpus sketch and the parts in which they travel.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
-#: Bits of the filter that keeps documents which meet none from being moved; it only saves work.
-SIEVE_BITS = 23
+#: Parts in which the corpus sketch and the sieve travel, and least and most bits of their size. Both grow with the corpus
+#: up to the most, which bounds what is broadcast; they only save work, so results are alike beyond it.
+SKETCH_PARTS, SKETCH_BITS, SIEVE_BITS = 64, (16, 24), (16, 26)
 #: Members of a block; a cell holds two.
 BLOCK = 512
 #: Columns of a fragment while a cell is counted.
 FRAGMENT = 1024
 #: Rows and characters of text shingled at once, and postings a task holds before it hands them on.
 ROWS, CHUNK, HELD = 256, 1 << 19, 1 << 18
-PRIME = 0x9E3779B97F4A7C15 | 1
-_tables: dict = {}
-
-
-def byte_table() -> np.ndarray:
-    if "bytes" not in _tables:
-        _tables["bytes"] = np.random.default_rng(11).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-    return _tables["bytes"]
-
-
-def powers(n: int, name: str, base: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2 ** 64, at least n of them."""
-    have = _tables.get(name)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        out = np.ones(size, np.uint64)
-        out[1:] = np.uint64(base)
-        have = _tables[name] = np.multiply.accumulate(out)
-    return have
+SEED, LONG = 0x9E3779B97F4A7C15, 1024
 
 
 def finished(x: np.ndarray) -> np.ndarray:
@@ -76,35 +58,54 @@ def finished(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z in lower case, and how many each text has."""
+    """Hashes of all words, A-Z in lower case, and how many each text has.
+
+    A word is read in blocks of eight bytes, each mixed into what the blocks before it gave; there is no sum over
+    bytes in which different words could cancel out. Words above LONG bytes are hashed by BLAKE2."""
     parts = [t.encode("utf-8", "replace").lower() for t in texts]
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
+    raw = b" " + b" ".join(parts) + b" " * 9
+    data = np.frombuffer(raw, np.uint8)[:-8]
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_table()[data] * powers(len(data), "up", PRIME)[: len(data)], out=sums[1:])
-    # The sum over a word, moved back to where words begin: modulo 2 ** 64 the odd base has an inverse.
-    hashes = finished((sums[ends] - sums[begins]) * powers(len(data), "down", pow(PRIME, -1, 1 << 64))[begins] + (ends - begins).astype(np.uint64))
+    size = ends - begins
+    blocks = np.ndarray((len(data),), np.dtype("<u8"), raw, strides=(1,))
+    hashes = finished(size.astype(np.uint64) * np.uint64(SEED) + np.uint64(1))
+    long = size > LONG
+    at = np.flatnonzero(~long)
+    done = 0
+    while len(at):
+        rest = np.minimum(size[at] - done, 8).astype(np.uint64)
+        block = blocks[begins[at] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * rest))
+        hashes[at] = finished((hashes[at] ^ block) * np.uint64(SEED) + block)
+        done += 8
+        at = at[size[at] > done]
+    for k in np.flatnonzero(long).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(raw[begins[k] : ends[k]], digest_size=8).digest(), "little")
     texts_end = np.cumsum([len(p) + 1 for p in parts])
     counts = np.diff(np.r_[0, np.searchsorted(begins, texts_end, "right")])
     return hashes, counts
 
 
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of each sequence of words, given as its first, second, ... words."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        out = finished((out ^ w) * np.uint64(SEED) + w)
+    return out
+
+
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """For each text its distinct n-gram hashes, sorted."""
     hashes, counts = word_hashes(texts)
-    grams = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
-    for k in range(width):
-        grams += hashes[k : k + len(grams)] * np.uint64(pow(PRIME, 2 * k + 1, 1 << 64))
-    grams = finished(grams)
+    n_grams = max(0, len(hashes) - width + 1)
+    grams = chained([hashes[k : k + n_grams] for k in range(width)])
     out, at = [], 0
     for n in counts.tolist():
         if n >= width:
             out.append(np.unique(grams[at : at + n - width + 1]))
         elif n:
-            whole = hashes[at : at + n] * powers(n + 1, "up", PRIME)[1 : n + 1]
-            out.append(finished(np.array([whole.sum(dtype=np.uint64) ^ np.uint64(n)], np.uint64)))
+            out.append(chained(list(hashes[at : at + n, None])))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -149,19 +150,26 @@ def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def summarised(width: int):
+def bits_for(count: int, more: int, bounds: tuple[int, int]) -> int:
+    """The bits of a number ``more`` powers of two above ``count``, within bounds."""
+    return max(bounds[0], min(bounds[1], count.bit_length() + more))
+
+
+def counter(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def summarised(width: int, bits: int):
     """A row for each document with the key of its set, and the task's share of the corpus sketch: each set once."""
 
     def run(batches):
-        sketch, seen, rows = np.zeros(1 << SKETCH_BITS, np.uint32), set(), []
+        sketch, seen, rows = np.zeros(1 << bits, np.uint32), set(), []
         for doc, grams in in_chunks(batches, width):
             key = set_key(grams)
             rows.append((doc, len(grams), key, None, None))
             if key not in seen:
                 seen.add(key)
-                sketch += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(grams) > 4096 else 0
-                if len(grams) <= 4096:
-                    np.add.at(sketch, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                np.add.at(sketch, counter(grams, bits), np.uint32(1))
             if len(rows) >= 4096:
                 yield batch_of(rows, SETS)
                 rows = []
@@ -192,7 +200,7 @@ def rarity(sketch: np.ndarray) -> np.ndarray:
 
 def ordered(grams: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams in the global order, and their keys in it: class, then hash."""
-    keys = (classes[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (grams >> np.uint64(4))
+    keys = (classes[counter(grams, len(classes).bit_length() - 1)].astype(np.uint64) << np.uint64(60)) | (grams >> np.uint64(4))
     by = np.argsort(keys, kind="stable")
     return grams[by], keys[by]
 
@@ -281,20 +289,22 @@ def starred(num: int, den: int):
     return run
 
 
-def slots(ids: np.ndarray) -> np.ndarray:
+def slots(ids: np.ndarray, bits: int) -> np.ndarray:
     """Two places of each id in the sieve."""
     x = ids.astype(np.int64).view(np.uint64)
-    shift = np.uint64(64 - SIEVE_BITS)
-    return np.concatenate([finished(x + np.uint64(PRIME)) >> shift, finished(x ^ np.uint64(0xD6E8FEB86659FD93)) >> shift]).astype(np.int64)
+    shift = np.uint64(64 - bits)
+    return np.concatenate([finished(x + np.uint64(SEED)) >> shift, finished(x ^ np.uint64(0xD6E8FEB86659FD93)) >> shift]).astype(np.int64)
 
 
 def sieve(ids: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of SIEVE_BITS for the ids of a column, whatever their number: parts are merged by Spark, and SKETCH_PARTS rows of one size come here."""
-    width = (1 << SIEVE_BITS) // SKETCH_PARTS
+    """A Bloom filter for the ids of a column, of a size by their number: parts are merged by Spark, and SKETCH_PARTS rows of one size come here."""
+    known = ids.where(F.col(column).isNotNull()).select(column)
+    size = bits_for(known.count(), 4, SIEVE_BITS)
+    width = (1 << size) // SKETCH_PARTS
 
     def placed(batches):
         for batch in batches:
-            at = np.unique(slots(np.array(batch.column(0).to_pylist(), np.int64)))
+            at = np.unique(slots(np.array(batch.column(0).to_pylist(), np.int64), size))
             part = at // width
             for k in np.unique(part).tolist():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(at[part == k] % width).astype(np.int32).tobytes()], pa.binary())], names=["part", "bits"])
@@ -307,21 +317,23 @@ def sieve(ids: DataFrame, column: str) -> np.ndarray:
         for k, bits in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
 
-    out = np.zeros(1 << SIEVE_BITS, bool)
-    for r in ids.where(F.col(column).isNotNull()).select(column).mapInArrow(placed, "part int, bits binary").repartition("part").mapInArrow(merged, "part int, bits binary").collect():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool)
-    return np.packbits(out)
+    out = np.zeros((1 << size) // 8, np.uint8)
+    for r in known.mapInArrow(placed, "part int, bits binary").repartition("part").mapInArrow(merged, "part int, bits binary").collect():
+        out[r["part"] * width // 8 : (r["part"] + 1) * width // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
 
 def sieved(rows: DataFrame, sieve_of) -> DataFrame:
     """The rows whose first column may be among the ids of a sieve; a join that follows is exact."""
 
     def run(batches):
-        bits = np.unpackbits(sieve_of.value).astype(bool)
+        packed = sieve_of.value
+        size = len(packed).bit_length() + 2
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            at = slots(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(known & bits[at[: len(known)]] & bits[at[len(known) :]]))
+            at = slots(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), size)
+            found = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(known & found[: len(known)] & found[len(known) :]))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -445,20 +457,22 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = cut(rows.mapInArrow(summarised(width), ddl(SETS)))
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    bits = bits_for(rows.count(), 2, SKETCH_BITS)
+    told = cut(rows.mapInArrow(summarised(width, bits), ddl(SETS)))
+    sketch = np.zeros(1 << bits, np.uint32)
     size = len(sketch) // SKETCH_PARTS
-    # SKETCH_PARTS rows: the sketch, whose size does not depend on the corpus.
+    # SKETCH_PARTS rows: the sketch, at most 2 ** 24 counters.
     for r in told.where("part is not null").select("part", "counts").repartition("part").mapInArrow(summed, "part int, counts binary").collect():
         sketch[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     shared = spark.sparkContext.broadcast(rarity(sketch))
     sets = told.where("part is null").select("doc_id", "n_shingles", "set_key")
-    reps = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    known = cut(sets.join(reps, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
+    reps = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"))
+    known = by_class(sets, reps, "set_key", "many")
+    known = cut(known.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
     named = cut(known.where("rep is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size")))
-    bits = max(4, (shuffle_parts(spark) - 1).bit_length() + 1)
+    fragments = max(4, (shuffle_parts(spark) - 1).bit_length() + 1)
     starts = cut(rows.mapInArrow(prefixes(width, num, den, shared), ddl(PREFIXES)))
-    postings = starts.mapInArrow(by_fragment(bits), ddl(POSTINGS)).repartition("fragment").sortWithinPartitions("fragment")
+    postings = starts.mapInArrow(by_fragment(fragments), ddl(POSTINGS)).repartition("fragment").sortWithinPartitions("fragment")
     stars = postings.mapInArrow(starred(num, den), ddl(STARS)).distinct()
     leads, joins = named.select(F.col("doc_id").alias("leader"), F.col("rep").alias("lead")), named.withColumnRenamed("doc_id", "member")
     met = stars.join(leads, "leader").join(joins, "member").where("rep <> lead").select(F.col("lead").alias("leader"), "rep", "size").distinct()

@@ -224,6 +224,18 @@ def test_ngram_join(spark, docs, monkeypatch):
     assert ngram_join.first_documents(more).columns == more.columns
 
 
+def test_words_that_cancel_out(spark):
+    def thue(n, a="a", b="b"):
+        return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+    rows = []
+    for k, n in enumerate((64, 1024, 4096)):
+        for j, word in enumerate((thue(n), thue(n, "b", "a"), thue(n)[::-1] + "c")):
+            rows.append((10 * k + j, f"one two three {word} five six", "x"))
+    rows += [(100, "ab c", "x"), (101, "a bc", "x"), (102, "a\x00 b", "x"), (103, "a b", "x"), (104, "x" * 7, "x"), (105, "x" * 8, "x"), (106, "x" * 9, "x"), (107, "y" * 200_000, "x"), (108, "y" * 200_001, "x")]
+    assert Counter(map(tuple, ngram_join.near_components(table(spark, rows), 4, 85, 100).collect())) == near(rows, 4, 85, 100)
+
+
 def test_linked_bounds():
     rng = np.random.default_rng(5)
     for _ in range(60):
