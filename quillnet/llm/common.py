@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillnet.functions.lineage import cut, shared_folder, shared_path
 from quillnet.operators.components import components as connected_components
 
-__all__ = ["WHITE", "by_class", "connected_components", "cut", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
+__all__ = ["WHITE", "by_class", "connected_components", "cut", "numbered", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
 
 #: Characters counted as white space by the contracts: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -63,3 +63,17 @@ def by_class(rows: DataFrame, classes: DataFrame, key: str, many: str) -> DataFr
     met = met.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).cast("long"))
     met = met.join(cold, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left").withColumn("__class", F.coalesce("__hot_class", "__cold_class"))
     return met.select(*rows.columns, *[F.col("__class")[c].alias(c) for c in classes.columns if c != key])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with __row, a number of its own for each row: the doc_id where no other row has it, else one from 2 ** 62 on.
+
+    Only if some doc_ids are null or repeated are the rows written once, so that the new numbers stay what they are.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    odd = cut(docs.groupBy(doc_id.alias("__odd")).agg(F.count("*").alias("__n")).where("__odd is null or __n > 1").select("__odd"))
+    if odd.isEmpty():
+        return docs.withColumn("__row", doc_id)
+    same = doc_id.eqNullSafe(F.col("__odd"))
+    plain = docs.join(odd, same, "left_anti").withColumn("__row", doc_id)
+    return cut(plain.unionByName(docs.join(odd, same, "left_semi").withColumn("__row", F.lit(1 << 62) + F.monotonically_increasing_id())))

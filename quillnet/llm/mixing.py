@@ -12,10 +12,10 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import cut, ranked
+from quillnet.llm.common import cut, numbered, ranked
 
 #: Weights by the place of a source in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,23 +26,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST) -> DataFrame:
-    """``sizes`` (source_key, source_size) with target. A row for each source, so its windows hold little.
+    """``sizes`` (source_key, source_size) with target, for any number of sources.
 
-    Sharing by weight with a ceiling, and sharing the excess again until none is above, fills all sources to one
-    level: target = min(most * size, level * weight). Sources reach their ceiling in the order of ceiling / weight;
-    the level is that of the first source, in that order, whose ceiling the rest of the budget does not reach.
+    Sharing by weight with a ceiling, and sharing the excess again until none is above, fills all open sources to one
+    level: target = min(most * size, level * weight). The level rises while it closes sources, so the loop ends.
     """
-    place = F.row_number().over(Window.orderBy("source_key")) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("ceiling", F.col("source_size") * F.lit(most))
-    order = Window.orderBy(F.col("ceiling") / F.col("weight"), "source_key")
-    rows = rows.withColumn("full", F.coalesce(F.sum("ceiling").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("total", F.sum("source_size").over(Window.partitionBy()) * F.lit(budget))
-    level = (F.col("total") - F.col("full")) / F.col("rest")
-    rows = rows.withColumn("level", F.when(level * F.col("weight") <= F.col("ceiling"), level))
-    rows = rows.withColumn("level", F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return rows.select("source_key", "source_size", F.least("ceiling", F.coalesce(F.col("level") * F.col("weight"), F.col("ceiling"))).alias("target"))
+    place = ranked(sizes, [], ["source_key"], "place").withColumn("place", F.col("place") - 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    rows = cut(place.select("source_key", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(most)).alias("ceiling")))
+    total = (rows.agg(F.sum("source_size")).first()[0] or 0) * budget
+    level, closed = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.lit(level) * F.col("weight") > F.col("ceiling")
+        now = rows.agg(F.sum(F.when(full, F.col("ceiling"))).alias("filled"), F.sum(F.when(~full, F.col("weight"))).alias("rest"), F.count(F.when(full, 1)).alias("closed")).first()
+        if now["closed"] == closed or not now["rest"]:
+            break
+        level, closed = (total - (now["filled"] or 0.0)) / now["rest"], now["closed"]
+    if level is None or not now["rest"]:
+        return rows.select("source_key", "source_size", F.col("ceiling").alias("target"))
+    return rows.select("source_key", "source_size", F.least("ceiling", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def offset(source_key, seed: str = SEED):
@@ -63,6 +65,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST, seed: str
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes them."""
-    copies = mixed(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return docs.join(copies.withColumnRenamed("doc_id", "__doc"), docs["doc_id"].eqNullSafe(F.col("__doc"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that the mix takes, each as often as it takes them; rows that share a doc_id or have none are documents of their own."""
+    rows = numbered(docs)
+    copies = mixed(rows.select(F.col("__row").alias("doc_id"), "text", "source"), **options).where("copies > 0").select(F.col("doc_id").alias("__doc"), "copies")
+    return rows.join(copies.withColumnRenamed("copies", "__copies"), F.col("__row") == F.col("__doc")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[rows[c] for c in docs.columns])

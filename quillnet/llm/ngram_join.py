@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import by_class, connected_components, cut, ranked, shuffle_parts
+from quillnet.llm.common import by_class, connected_components, cut, numbered, ranked, shuffle_parts
 
 #: Parts in which the corpus sketch and the sieve travel, and least and most bits of their size. Both grow with the corpus
 #: up to the most, which bounds what is broadcast; they only save work, so results are alike beyond it.
@@ -489,6 +489,8 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def first_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the smallest document of their component, with all their columns; also those without doc_id."""
-    keep = near_components(docs, width, num, den).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id; rows whose doc_id is null or
+    repeated are documents of their own and stand behind all others."""
+    rows = numbered(docs)
+    keep = near_components(rows.select(F.col("__row").alias("doc_id"), "text"), width, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
+    return rows.join(keep, F.col("__row") == F.col("__keep"), "left_semi").drop("__row")

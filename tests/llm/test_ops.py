@@ -102,7 +102,29 @@ def test_mixing(docs):
     assert all(abs(taken[s] - target[s]) <= largest for s in names if s != "src1")
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(df.repartition(5)).collect()))
     assert mixing.mixed(df.limit(0)).count() == 0
-    assert mixing.mixed_documents(df).columns == df.columns
+    # The rows that are taken have the words that the mix counted, source by source, also where doc_ids repeat or are null.
+    words = Counter()
+    emitted = mixing.mixed_documents(df)
+    assert emitted.columns == df.columns
+    for r in emitted.collect():
+        words[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert words == Counter({s: n for s, n in taken.items() if n})
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(4)
+    size = {f"0host{k:04d}": int(n) for k, n in enumerate(rng.integers(0, 1000, 700) ** 2)}
+    got = {r.source_key: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "source_key string, source_size long")).collect()}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+    target, open_, rest = {}, set(size), 1.5 * sum(size.values())
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        target |= {s: 2 * size[s] for s in full} if full else {s: level * weight[s] for s in open_}
+        rest -= sum(2 * size[s] for s in full)
+        open_ = open_ - full if full else set()
+    assert all(abs(got[s] - target[s]) < 1e-6 * max(1, target[s]) for s in size)
 
 
 def test_packing(docs):
@@ -224,6 +246,13 @@ def test_ngram_join(spark, docs, monkeypatch):
     assert ngram_join.first_documents(more).columns == more.columns
 
 
+def test_first_documents_of_odd_ids(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, base, "x"), (None, base + " end", "x"), (None, "alone without an id", "x"), (5, base + " last", "x"), (6, "twice six " * 9, "x"), (6, "another text of six here", "x"), (6, "another text of six here", "x"), (7, None, "x"), (None, "", "x")]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.first_documents(table(spark, rows)).collect())
+    assert got == Counter([(5, base + " last"), (None, "alone without an id"), (6, "twice six " * 9), (6, "another text of six here"), (7, None), (None, "")])
+
+
 def test_words_that_cancel_out(spark):
     def thue(n, a="a", b="b"):
         return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
