@@ -1,17 +1,18 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams, with the word's two ends marked, hashed into
-one table; a text's vector is the mean of its words' vectors; a linear softmax over it gives the two classes. Table and
+one table; a bag's vector is the mean of its words' vectors; a linear softmax over it gives the two classes. Table and
 softmax are trained together, so a misspelling that was never seen still shares most n-gram vectors with its word.
 
-A window's mean is over its WINDOW places, of which equal words fill one and a short window leaves some empty (zero):
-else a word that a junk text repeats would be all of its window. A few abusive words in a long text vanish in one mean. So a text is read in windows of words, all of them, each
-window is a bag of its own, and the text's score is that of its worst window. Training begins with all windows of a
-text alike and then gives more and more of a text's weight to its worst window (multiple-instance learning). Vectors
-of n-grams in fewer than ``FEWEST`` training texts stay zero.
+A few abusive words in a long text vanish in one mean. So a text is read in windows of WINDOW words, all of them; each
+window is a bag of its own, the mean over the distinct words that stand in it and BLANKS words of zero, and the text's
+score is that of its worst window (the first of equal ones, which score alike). The blanks keep a bag of one or two
+words, whose mean is not evened out by others, from scoring on noise. Training begins with all windows of a text alike
+and then gives more and more of a text's weight to its worst window (multiple-instance learning). Vectors of n-grams
+in fewer than ``FEWEST`` training texts stay zero, so names and typing errors of single texts are not learned.
 
-Training takes at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts, those smallest by a hash of doc_id; the
-model's size is fixed. Defined results: null and empty texts are scored by the bias alone; rows whose label is null
+Training takes at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled texts, those smallest by a hash of doc_id (of rows
+that share a doc_id, the smallest text); the driver holds the numbers of their words, and the model's size is fixed. Defined results: null and empty texts are scored by the bias alone; rows whose label is null
 or not 0 or 1 are not learned from; without texts of both classes every score is 0; repeated rows are scored alike;
 an empty table gives an empty result; other columns are ignored. Labels, lang, source and doc_id are never inputs
 of a score.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 5
-WINDOW, EPOCHS, RATE, SEED, FEWEST, FLOOR, DECAY = 48, 40, 1.0, 7, 4, 1e-4, 1e-2
+WINDOW, BLANKS = 12, 12
+EPOCHS, RATE, SEED, FEWEST, FLOOR, DECAY = 40, 1.0, 7, 4, 1e-4, 1e-2
 #: Characters that are read at once.
 CHUNK = 1 << 20
 #: Code points below this have a case and class of their own; those above count as letters.
@@ -95,7 +97,7 @@ class Read:
 
 
 class Means:
-    """Rows that are means of items, as pairs, each row over its pairs or over ``size`` places; ``up`` goes from items to rows, ``down`` is its transpose."""
+    """Rows that are means of items, as pairs, each row over its pairs or over ``size`` items; ``up`` goes from items to rows, ``down`` is its transpose."""
 
     def __init__(self, row: np.ndarray, item: np.ndarray, rows: int, items: int, size: np.ndarray | None = None):
         order = np.argsort(row, kind="stable")
@@ -118,19 +120,21 @@ class Means:
         return out
 
 
-def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    """The model folded to what scoring needs: for each bucket its vector times the softmax's difference, and the bias."""
+def train(rows) -> tuple[np.ndarray, float]:
+    """From (text, label) pairs, which are read once, the model folded to what scoring needs: for each bucket its vector
+    times the softmax's difference, and the bias."""
     none = np.zeros(BUCKETS, np.float32), -60.0
-    if len(set(labels)) < 2:
-        return none
     index: dict[str, int] = {}
-    ids = [np.array([index.setdefault(w, len(index)) for w in WORDS.findall(t.lower())], np.int32) for t in texts]
-    if not index:
+    ids, labels = [], []
+    for text, label in rows:
+        ids.append(np.array([index.setdefault(w, len(index)) for w in WORDS.findall(text.lower())], np.int32))
+        labels.append(label)
+    if len(set(labels)) < 2 or not index:
         return none
     text_words = np.array([len(x) for x in ids])
     windows = -(-text_words // WINDOW)
-    owner = np.repeat(np.arange(len(texts)), windows)
-    item, text_of_word = np.concatenate(ids), np.repeat(np.arange(len(texts)), text_words)
+    owner = np.repeat(np.arange(len(ids)), windows)
+    item, text_of_word = np.concatenate(ids), np.repeat(np.arange(len(ids)), text_words)
     number = np.arange(len(item)) - np.repeat(np.cumsum(text_words) - text_words, text_words)
     window_of = np.repeat(np.cumsum(windows) - windows, text_words) + number // WINDOW
     # The n-grams of each distinct word. Only those that several texts have learn.
@@ -141,7 +145,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     grams = Means(read.gram_word[keep], read.gram[keep], len(index), BUCKETS, np.bincount(read.gram_word, minlength=len(index)))
     del read, keep, number, text_of_word
     pair = np.unique(window_of.astype(np.int64) * len(index) + item)
-    bags = Means(pair // len(index), pair % len(index), len(owner), len(index), np.full(len(owner), WINDOW))
+    bags = Means(pair // len(index), pair % len(index), len(owner), len(index), np.bincount(pair // len(index), minlength=len(owner)) + BLANKS)
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32) * learns
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -187,7 +191,7 @@ def score(texts: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
             window = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, read.words]))
             # A word counts once in a window; equal words have equal values.
             once = np.unique((window.astype(np.int64) << 32) | values.view(np.uint32))
-            means = np.bincount(once >> 32, (once & 0xFFFFFFFF).astype(np.uint32).view(np.float32), len(begins)) / WINDOW
+            means = np.bincount(once >> 32, (once & 0xFFFFFFFF).astype(np.uint32).view(np.float32), len(begins)) / (np.bincount(once >> 32, minlength=len(begins)) + BLANKS)
             texts_at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best[at + owner[texts_at]] = np.maximum.reduceat(means, texts_at)
         at = stop
@@ -203,12 +207,13 @@ def labelled(docs: DataFrame, labels: DataFrame, only=None) -> DataFrame:
     order = F.xxhash64("__id", F.lit(SEED))
     picked = tags.where("__toxic = 1").orderBy(order, "__id").limit(MOST_TOXIC).unionByName(tags.where("__toxic = 0").orderBy(order, "__id").limit(MOST_CLEAN))
     # At most MOST_TOXIC + MOST_CLEAN rows of two numbers.
-    return rows.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select(F.col("__id").alias("doc_id"), "text", F.col("__toxic").alias("toxic"))
+    found = rows.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).groupBy(F.col("__id").alias("doc_id"), F.col("__toxic").alias("toxic"))
+    return found.agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, only=None) -> tuple[np.ndarray, float]:
-    rows = sorted(labelled(docs, labels, only).toLocalIterator(), key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    rows = labelled(docs, labels, only).orderBy("doc_id", "toxic")
+    return train((r["text"], r["toxic"]) for r in rows.toLocalIterator())
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

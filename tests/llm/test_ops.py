@@ -426,10 +426,83 @@ def test_toxicity(spark):
     assert np.mean(right) > 0.95 and all(0 <= s <= 1 for s in got.values())
     assert got[900] == got[901] < 0.5 and got[903] < 0.5
     assert toxicity.scored(df.limit(0), model).count() == 0
-    assert set(toxicity.scored(df, toxicity.train(["a"], [0])).toPandas().score) == {toxicity.score([""], np.zeros(toxicity.BUCKETS, np.float32), -60.0)[0]}
+    assert set(toxicity.scored(df, toxicity.train([("a", 0)])).toPandas().score) == {toxicity.score([""], np.zeros(toxicity.BUCKETS, np.float32), -60.0)[0]}
     assert toxicity.clean_documents(df, labels).columns == df.columns
 
 
+def plain_score(text, folded, bias):
+    """By loops over words and n-grams."""
+
+    def bucket(gram):
+        mask = 2**64 - 1
+        mixed = []
+        for c in gram:
+            x = (ord(c) if c != " " else 0) * 0x9E3779B97F4A7C15 & mask
+            mixed.append(x ^ x >> 29)
+        h = (mixed[0] * 3 + mixed[1]) & mask
+        for m in mixed[2:]:
+            h = (h * 0xBF58476D1CE4E5B9 + m) & mask
+        h ^= h >> 32
+        return (h * 0x94D049BB133111EB & mask) >> 47
+
+    words = toxicity.WORDS.findall(text.lower())
+    best = None
+    for at in range(0, len(words), toxicity.WINDOW):
+        total = 0.0
+        bag = set(words[at : at + toxicity.WINDOW])
+        for w in bag:
+            grams = [f" {w} "[k : k + n] for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1) for k in range(len(w) + 3 - n)]
+            total += sum(float(folded[bucket(g)]) for g in grams) / max(1, len(grams))
+        mean = total / (len(bag) + toxicity.BLANKS)
+        best = mean if best is None else max(best, mean)
+    return 1 / (1 + math.exp(-((best or 0.0) + bias)))
+
+
+def test_toxicity_scores_by_loops(spark, sf):
+    rng = np.random.default_rng(3)
+    folded = rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    texts += ["", "a", "é ß İ x_y a-b", "word " * 40, " ".join(f"w{k}" for k in range(100)), "😀 漢字 1²"]
+    for chunk in (1 << 20, 10):
+        toxicity.CHUNK, kept = chunk, toxicity.CHUNK
+        try:
+            got = toxicity.score(texts, folded, -0.3)
+        finally:
+            toxicity.CHUNK = kept
+        for t, s in zip(texts, got, strict=True):
+            assert abs(s - plain_score(t, folded, -0.3)) < 1e-4, t[:60]
+
+
+def test_unseen_misspellings(spark, sf):
+    rng = np.random.default_rng(1)
+    bad = ["blockhead", "nitwit", "dunderhead", "numbskull"]
+    clean = sorted({w for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect() for w in toxicity.WORDS.findall((r.text or "").lower())})
+
+    def text(toxic):
+        words = list(rng.choice(clean, 60))
+        if toxic:
+            words[int(rng.integers(60))] = bad[rng.integers(4)]
+        return " ".join(words)
+
+    model = toxicity.train((text(k % 3 == 0), int(k % 3 == 0)) for k in range(900))
+    plain = [text(False) for _ in range(200)]
+    assert np.mean(toxicity.score(plain, *model) >= 0.5) <= 0.02
+    assert np.mean(toxicity.score([text(True) for _ in range(200)], *model) >= 0.5) >= 0.98
+    wrong = ["blockheadd", "nitwitt", "dunderhed", "numbskul", "blokhead", "dunnderhead"]
+    alone = toxicity.score(wrong, *model)
+    assert alone.min() > 0.5 > np.median(toxicity.score(list(rng.choice(clean, 200)), *model))
+    base = clean[:15]
+    inside = toxicity.score([" ".join([*base[:7], w, *base[7:]]) for w in wrong], *model)
+    assert (inside > toxicity.score([" ".join(base)], *model)[0]).all()
+
+
+def test_repeated_ids_are_learned_once(spark):
+    docs = table(spark, [(1, "b", "x"), (1, "a", "x"), (1, None, "x"), (2, "c", "x"), (None, "d", "x")] + [(3, "e", "x")] * 50)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 1), (None, 1), (2, 2)], "doc_id long, toxic int")
+    got = sorted(map(tuple, toxicity.labelled(docs, labels).select("doc_id", "toxic", "text").collect()))
+    assert got == [(1, 1, ""), (2, 0, "c"), (3, 0, "e")]
+
+
 def test_warc(spark, sf, monkeypatch):
     import base64
 
