@@ -2,9 +2,13 @@
 
 Vectors of unit length whose cosine is at least c lie within epsilon = sqrt(2 - 2c) of each other. They are sorted by
 the cells, of width epsilon, of a grid on their leading principal dimensions (epsilon grid order) and cut into
-sequence intervals. Two intervals are joined recursively: halves whose boxes lie further apart than epsilon are
-skipped, small ones are compared by matrix product, and what comes within rounding of the threshold is decided in
-double precision.
+sequence intervals. Two intervals are joined recursively, cut between cells: parts whose boxes on the leading
+dimensions, or whose balls around their means, lie further apart than epsilon are skipped; parts whose balls lie within
+epsilon link as a whole, so a dense group costs no comparison of all its pairs; small ones are compared by matrix
+product, and what comes within rounding of the threshold is decided in double precision.
+
+An interval travels to each that it may meet, so intervals are as large as a task may hold; where vectors spread evenly
+over many dimensions, no grid on a few of them keeps intervals apart, and work grows with the square of the vectors.
 
 Equal vectors are one class with a count from the start, so a vector that a third of all rows repeat is one row. A
 join of two intervals gives, for each vector, how many it linked to and a forest that connects what it linked: its
@@ -17,18 +21,24 @@ components; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import connected_components, cut, ranked
+from quillnet.llm.common import connected_components, cut, ranked, shuffle_parts
 
-LEADING, INTERVAL, LEAF = 8, 2048, 256
+#: Vectors of a leaf; bytes of an interval's vectors at most; leading dimensions at least, at most, and the share of the variance they are to explain.
+LEAF, INTERVAL_BYTES = 256, 16 << 20
+LEADING, EXPLAINED = (4, 24), 0.5
+#: Pairs of intervals for each shuffle partition, if there are vectors enough for so many intervals.
+PAIRS_EACH = 3
 #: Single precision is trusted this far from the threshold.
 MARGIN = 1e-4
-#: Partial covariances that meet on the driver.
-FOLDS = 32
+#: Bytes of the partial covariances that meet on the driver, and their number for each length of vector at most.
+FOLD_BYTES, FOLDS = 64 << 20, 32
 CLASSES = "rep long, mult long, dim int, cells array<int>, lead array<double>, vector binary"
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
@@ -76,10 +86,14 @@ def added(batches):
 
 
 def principal(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vector the leading principal directions. FOLDS rows for each length come to the driver."""
+    """For each length of vector the principal directions, from the first, that explain EXPLAINED of the variance.
+
+    Partial sums are merged by tasks until those of one length take at most FOLD_BYTES; these come to the driver."""
     schema = "dim int, outer binary, one binary, n long"
-    parts = classes.select("vector").mapInArrow(covariances, schema).withColumn("fold", F.spark_partition_id() % FOLDS)
-    rows = parts.repartition(FOLDS, "fold").select("dim", "outer", "one", "n").mapInArrow(added, schema).collect()
+    longest = classes.agg(F.max(F.size("vector"))).first()[0] or 1
+    folds = max(1, min(FOLDS, FOLD_BYTES // (8 * longest * longest)))
+    parts = classes.select("vector").mapInArrow(covariances, schema).withColumn("fold", F.spark_partition_id() % folds)
+    rows = parts.repartition(folds, "fold").select("dim", "outer", "one", "n").mapInArrow(added, schema).collect()
     total: dict[int, list] = {}
     for r in rows:
         now = total.setdefault(r["dim"], [0, 0, 0])
@@ -88,8 +102,10 @@ def principal(classes: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for n, (outer, one, count) in total.items():
         mean = one / count
-        _, vectors = np.linalg.eigh(outer / count - np.outer(mean, mean))
-        out[n] = np.ascontiguousarray(vectors[:, ::-1][:, :LEADING])
+        values, vectors = np.linalg.eigh(outer / count - np.outer(mean, mean))
+        told = np.cumsum(np.maximum(values[::-1], 0))
+        leading = max(LEADING[0], min(LEADING[1], int(np.searchsorted(told, EXPLAINED * told[-1])) + 1))
+        out[n] = np.ascontiguousarray(vectors[:, ::-1][:, :leading])
     return out
 
 
@@ -118,12 +134,29 @@ class Interval:
         self.x = np.stack([np.frombuffer(r[4]) for r in rows])
         self.single = self.x.astype(np.float32)
         self.links = np.zeros(len(rows), np.int64)
-        self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def box(self, a: int, b: int):
-        if (a, b) not in self.boxes:
-            self.boxes[a, b] = self.lead[a:b].min(0), self.lead[a:b].max(0)
-        return self.boxes[a, b]
+        self.bounds: dict[tuple[int, int], tuple] = {}
+        # Cuts stand where the first leading dimensions step into another cell, near the middle.
+        cells = np.array([r[2] for r in rows])
+        step = (cells[1:] != cells[:-1]).argmax(1)
+        self.step = np.r_[0, np.where((cells[1:] != cells[:-1]).any(1), step, cells.shape[1])]
+
+    def bound(self, a: int, b: int):
+        """The box of the leading dimensions, and the mean vector and the distance of the farthest from it."""
+        if (a, b) not in self.bounds:
+            mean = self.x[a:b].mean(0)
+            far = np.sqrt(((self.x[a:b] - mean) ** 2).sum(1).max())
+            self.bounds[a, b] = self.lead[a:b].min(0), self.lead[a:b].max(0), mean, far
+        return self.bounds[a, b]
+
+    def halves(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Two parts of a stretch, cut between cells: in its middle half, where the earliest dimension steps."""
+        if b - a <= LEAF:
+            return [(a, b)]
+        low, high = a + (b - a) // 4, b - (b - a) // 4
+        steps = self.step[low:high]
+        best = np.flatnonzero(steps == steps.min())
+        cut = low + int(best[np.abs(best - (b - a) // 4).argmin()])
+        return [(a, cut), (cut, b)]
 
 
 class Joined:
@@ -131,6 +164,8 @@ class Joined:
 
     def __init__(self, left: Interval, right: Interval, least: float, epsilon: float):
         self.l, self.r, self.same, self.least, self.reach = left, right, left is right, least, epsilon + 1e-6
+        # Nearer than this every pair links, whatever rounding does.
+        self.within = epsilon - 1e-6
         self.label = np.arange(len(left.reps) + (0 if self.same else len(right.reps)))
         self.shift = 0 if self.same else len(left.reps)
         self.join(0, len(left.reps), 0, len(right.reps))
@@ -138,17 +173,31 @@ class Joined:
     def join(self, a: int, b: int, c: int, d: int) -> None:
         if self.same and c < a:
             return
-        (low, high), (low2, high2) = self.l.box(a, b), self.r.box(c, d)
+        (low, high, mean, far), (low2, high2, mean2, far2) = self.l.bound(a, b), self.r.bound(c, d)
         gap = np.maximum(0, np.maximum(low2 - high, low - high2))
-        if (gap * gap).sum() > self.reach**2:
+        apart = np.sqrt(((mean - mean2) ** 2).sum())
+        if (gap * gap).sum() > self.reach**2 or apart - far - far2 > self.reach:
             return
+        if apart + far + far2 < self.within:
+            return self.all(a, b, c, d)
         if b - a <= LEAF and d - c <= LEAF:
             return self.leaf(a, b, c, d)
-        mids = [(a, (a + b) // 2), ((a + b) // 2, b)] if b - a > LEAF else [(a, b)]
-        for p, q in mids:
-            for s, t in [(c, (c + d) // 2), ((c + d) // 2, d)] if d - c > LEAF else [(c, d)]:
+        for p, q in self.l.halves(a, b):
+            for s, t in self.r.halves(c, d):
                 self.join(p, q, s, t)
 
+    def all(self, a: int, b: int, c: int, d: int) -> None:
+        """All pairs are provably close: they link without being compared."""
+        same = self.same and a == c
+        if same and b - a < 2:
+            return
+        left, right = self.l.mult[a:b], self.r.mult[c:d]
+        self.l.links[a:b] += right.sum() - (left if same else 0)
+        if not same:
+            self.r.links[c:d] += left.sum()
+        ends = np.unique(np.r_[self.label[a:b], self.label[self.shift + c : self.shift + d]])
+        self.label[np.isin(self.label, ends)] = ends[0]
+
     def leaf(self, a: int, b: int, c: int, d: int) -> None:
         cosine = self.l.single[a:b] @ self.r.single[c:d].T
         link = cosine >= self.least
@@ -228,15 +277,19 @@ def vector_links(rows: DataFrame, least: float = 0.95) -> DataFrame:
     valid = F.coalesce((F.size("vector") > 0) & F.forall("vector", sound) & F.exists("vector", lambda x: x != 0), F.lit(False))
     named = rows.withColumn("vector", F.when(valid, F.col("vector")))
     classes = cut(named.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
-    shared = spark.sparkContext.broadcast(principal(classes))  # LEADING directions for each length of vector
+    shared = spark.sparkContext.broadcast(principal(classes))  # at most LEADING[1] directions for each length of vector
     keyed = classes.withColumn("rep", F.coalesce("rep", F.lit(-(2**63)).cast("long")))
     grid = keyed.mapInArrow(gridded(shared, epsilon), CLASSES)
-    placed = ranked(grid, ["dim"], ["cells", "rep"], "place").withColumn("block", F.floor((F.col("place") - 1) / INTERVAL))
+    # As few intervals as keep all tasks busy, as every interval travels to those it meets; more where their bytes ask for it.
+    many = max(2, math.isqrt(2 * PAIRS_EACH * shuffle_parts(spark)))
+    sizes = keyed.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
+    sizes = sizes.select("dim", F.greatest(F.lit(LEAF), F.least(F.ceil(F.col("n") / many), F.floor(F.lit(INTERVAL_BYTES) / (8 * F.col("dim"))))).cast("long").alias("interval"))
+    placed = ranked(grid, ["dim"], ["cells", "rep"], "place").join(sizes, "dim").withColumn("block", F.floor((F.col("place") - 1) / F.col("interval")))
     placed = cut(placed.select("dim", "block", "rep", "mult", "cells", "lead", "vector"))
     # A row for each interval, with its box; only intervals whose first cells are neighbours meet.
     low = lambda k: F.min(F.coalesce(F.get("lead", F.lit(k)), F.lit(0.0)))
     high = lambda k: F.max(F.coalesce(F.get("lead", F.lit(k)), F.lit(0.0)))
-    blocks = cut(placed.groupBy("dim", "block").agg(F.min(F.get("cells", F.lit(0))).alias("from"), F.max(F.get("cells", F.lit(0))).alias("to"), F.array(*map(low, range(LEADING))).alias("low"), F.array(*map(high, range(LEADING))).alias("high")))
+    blocks = cut(placed.groupBy("dim", "block").agg(F.min(F.get("cells", F.lit(0))).alias("from"), F.max(F.get("cells", F.lit(0))).alias("to"), F.array(*map(low, range(LEADING[1]))).alias("low"), F.array(*map(high, range(LEADING[1]))).alias("high")))
     left = blocks.select("dim", F.col("block").alias("one"), "low", "high", F.explode(F.sequence(F.col("from"), F.col("to") + 1)).alias("cell"))
     right = blocks.select("dim", F.col("block").alias("two"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(F.col("from") - 1, F.col("to"))).alias("cell"))
     gap = F.aggregate(F.arrays_zip("low", "high", "low2", "high2"), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["low2"] - z["high"], z["low"] - z["high2"]), F.lit(2.0)))

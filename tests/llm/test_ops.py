@@ -285,7 +285,11 @@ def test_vector_join(spark, monkeypatch):
     rows = [(k, (centres[k % 12] + rng.normal(size=16) * 0.12).tolist(), 0) for k in range(300)]
     rows += [(1000 + k, centres[0].tolist(), 1) for k in range(40)] + [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [math.nan] * 16, 0), (2003, [], 0), (2004, [None] + [1.0] * 15, 0), (2005, [1.0, 0.0], 0), (2006, [2.0, 0.0], 0), (2007, [math.inf] + [0.0] * 15, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")
-    monkeypatch.setattr(vector_join, "INTERVAL", 64)
+    # A tight group, whose balls lie within epsilon, and scaled copies.
+    tight = [(3000 + k, (centres[3] + rng.normal(size=16) * 0.004).tolist(), 0) for k in range(150)] + [(4000 + k, (centres[5] * (k + 1)).tolist(), 0) for k in range(30)]
+    rows += tight
+    df = df.unionByName(spark.createDataFrame(tight, df.schema))
+    monkeypatch.setattr(vector_join, "INTERVAL_BYTES", 64 * 16 * 8)
     monkeypatch.setattr(vector_join, "LEAF", 16)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.vector_links(df).collect()}
     xs = {k: np.array(v, np.float32).astype(float) for k, v, _ in rows if v and None not in v and np.isfinite(v).all() and any(v)}
