@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from quillnet.functions.lineage import cut, shared_folder, shared_path
 from quillnet.operators.components import components as connected_components
 
-__all__ = ["WHITE", "by_class", "connected_components", "cut", "numbered", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
+__all__ = ["WHITE", "by_class", "few_rows", "connected_components", "cut", "numbered", "ranked", "shared_folder", "shared_path", "shuffle_parts"]
 
 #: Characters counted as white space by the contracts: \x20 and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def few_rows(batches, rows: int = 512):
+    """Record batches in slices, so that few texts at once become Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

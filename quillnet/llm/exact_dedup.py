@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillnet.llm.common import WHITE, by_class, cut
+from quillnet.llm.common import WHITE, by_class, cut, few_rows
 
 #: Bytes of labels that a trie holds before its largest subtree leaves it.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 24 << 20
 #: Rows and bytes of an output batch.
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 
@@ -154,7 +154,7 @@ def combined(budget: int):
 
     def run(batches):
         trie, out = Patricia(), Batches()
-        for batch in batches:
+        for batch in few_rows(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 trie.insert(b"".join(raw.split()), len(text or ""), doc, 1)
@@ -174,7 +174,7 @@ def owners(budget: int):
 
     def run(batches):
         trie, out, now = Patricia(), Batches(), None
-        for batch in batches:
+        for batch in few_rows(batches):
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("size", "hash", "body", "chars", "doc_id", "copies")]
             for size, hashed, body, chars, doc, copies in zip(*cols, strict=True):
                 if (size, hashed) != now:

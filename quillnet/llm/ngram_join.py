@@ -43,8 +43,8 @@ from quillnet.llm.common import by_class, connected_components, cut, numbered, r
 SKETCH_PARTS, SKETCH_BITS, SIEVE_BITS = 64, (16, 24), (16, 26)
 #: Members of a block; a cell holds two.
 BLOCK = 512
-#: Columns of a fragment while a cell is counted.
-FRAGMENT = 1024
+#: Keys of a stretch of the global order and columns of a fragment while a cell is counted.
+STRETCH, FRAGMENT = 1 << 18, 1024
 #: Rows and characters of text shingled at once, and postings a task holds before it hands them on.
 ROWS, CHUNK, HELD = 256, 1 << 19, 1 << 18
 SEED, LONG = 0x9E3779B97F4A7C15, 1024
@@ -323,27 +323,28 @@ def sieve(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def sieved(rows: DataFrame, sieve_of) -> DataFrame:
-    """The rows whose first column may be among the ids of a sieve; a join that follows is exact."""
+def through(batch, packed: np.ndarray):
+    """The rows of a batch whose first column may be among the ids of a sieve; a join that follows is exact."""
+    known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    at = slots(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), len(packed).bit_length() + 2)
+    found = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return batch.filter(pa.array(known & found[: len(known)] & found[len(known) :]))
+
 
+def sieved(rows: DataFrame, sieve_of) -> DataFrame:
     def run(batches):
-        packed = sieve_of.value
-        size = len(packed).bit_length() + 2
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            at = slots(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), size)
-            found = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(known & found[: len(known)] & found[len(known) :]))
+            yield through(batch, sieve_of.value)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def members(width: int, shared):
-    """The whole sets, in the global order, of documents."""
+def members(width: int, shared, sieve_of):
+    """The whole sets, in the global order, of documents that a sieve lets through."""
 
     def run(batches):
         rows, held = [], 0
-        for doc, grams in in_chunks(batches, width):
+        for doc, grams in in_chunks((through(batch, sieve_of.value) for batch in batches), width):
             rows.append((doc, len(grams), ordered(grams, shared.value)[1].tobytes()))
             held += 8 * len(grams)
             if held >= 4 << 20:
@@ -354,40 +355,52 @@ def members(width: int, shared):
     return run
 
 
+def stretches(sets: list[np.ndarray]) -> list[np.uint64]:
+    """Where to cut the global order so that the sets have about STRETCH keys between two cuts: at keys of the largest set."""
+    large, total = max(sets, key=len), sum(map(len, sets))
+    return list(large[:: max(1, len(large) * STRETCH // max(1, total))][1:]) if total > STRETCH else []
+
+
 def linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Matrix of the pairs that reach the threshold, or may reach it if only the first keys of a set of ``sizes`` are given.
 
-    Overlaps are counted fragment by fragment and summed. Keys stand in the global order. Of two sets cut short, the
-    one whose keys end first bounds what they share behind that end.
+    Keys stand in the global order, which is cut into stretches and these into fragments; the overlaps of a fragment are
+    counted separately and summed, so no more than a stretch is sorted at once. Of two sets cut short, the one whose keys
+    end first bounds what they share behind that end.
     """
     m = len(sets)
     given = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), given)
-    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = count >= 2
-    column = np.cumsum(common) - 1
-    use = common[inverse]
-    owner, column = owner[use], column[inverse][use]
-    by = np.argsort(column, kind="stable")
-    owner, column = owner[by], column[by]
     need = num * (sizes[:, None] + sizes[None, :])
     tail, end = sizes - given, np.array([s[-1] for s in sets])
     behind = np.where(end[:, None] <= end[None, :], tail[:, None], tail[None, :])
     able = np.minimum(sizes[:, None], sizes[None, :]) * (num + den) >= need
     np.fill_diagonal(able, False)
     overlap = np.zeros((m, m), np.float32)
-    left = np.bincount(owner, minlength=m)
-    shared = int(common.sum())
-    for lo in range(0, shared, FRAGMENT):
-        a, b = np.searchsorted(column, (lo, lo + FRAGMENT))
-        x = np.zeros((m, min(FRAGMENT, shared - lo)), np.float32)
-        x[owner[a:b], column[a:b] - lo] = 1
-        overlap += x @ x.T
-        left = left - np.bincount(owner[a:b], minlength=m)
-        most = overlap.astype(np.int64) + np.minimum(left[:, None], left[None, :]) + behind
-        able &= most * (num + den) >= need
-        if not able.any():
-            return np.zeros((m, m), bool)
+    at = np.zeros(m, np.int64)
+    for cut_at in [*stretches(sets), None]:
+        stop = given if cut_at is None else np.array([np.searchsorted(s, cut_at) for s in sets])
+        owner = np.repeat(np.arange(m), stop - at)
+        keys = np.concatenate([s[a:b] for s, a, b in zip(sets, at.tolist(), stop.tolist(), strict=True)])
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        common = count >= 2
+        use = common[inverse]
+        owner, column = owner[use], (np.cumsum(common) - 1)[inverse][use]
+        by = np.argsort(column, kind="stable")
+        owner, column = owner[by], column[by]
+        # What is still to come: common keys of this stretch, and all keys behind it.
+        left = np.bincount(owner, minlength=m) + given - stop
+        shared = int(common.sum())
+        for lo in range(0, shared, FRAGMENT):
+            a, b = np.searchsorted(column, (lo, lo + FRAGMENT))
+            x = np.zeros((m, min(FRAGMENT, shared - lo)), np.float32)
+            x[owner[a:b], column[a:b] - lo] = 1
+            overlap += x @ x.T
+            left = left - np.bincount(owner[a:b], minlength=m)
+            most = overlap.astype(np.int64) + np.minimum(left[:, None], left[None, :]) + behind
+            able &= most * (num + den) >= need
+            if not able.any():
+                return np.zeros((m, m), bool)
+        at = stop
     return able & (overlap > 0) & ((overlap.astype(np.int64) + behind) * (num + den) >= need)
 
 
@@ -439,7 +452,7 @@ def compared(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def laid_out(groups: DataFrame, num: int, den: int) -> DataFrame:
     """(leader, a, b, rep): the cells of each group. Groups above a block are cut in the order of set sizes."""
     groups = groups.select("leader", "rep", "size")
-    sized = groups.join(groups.groupBy("leader").agg(F.count("*").alias("members")), "leader")
+    sized = by_class(groups, groups.groupBy("leader").agg(F.count("*").alias("members")), "leader", "members")
     small = sized.where(F.col("members") <= BLOCK).select("leader", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "rep")
     large = cut(sized.where(F.col("members") > BLOCK).drop("members"))
     if large.isEmpty():
@@ -483,7 +496,7 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     begun = sieved(starts, spark.sparkContext.broadcast(sieve(standing, "doc_id"))).join(standing, "doc_id").select("rep", "size", "grams")
     alive = compared(met.unionByName(heads), begun, num, den)
     alive = cut(alive.join(named.select(F.col("doc_id").alias("node"), "size"), "node").select(F.col("component").alias("leader"), F.col("node").alias("rep"), "size"))
-    whole = sieved(rows, spark.sparkContext.broadcast(sieve(alive, "rep"))).mapInArrow(members(width, shared), ddl(MEMBERS))
+    whole = rows.mapInArrow(members(width, shared, spark.sparkContext.broadcast(sieve(alive, "rep"))), ddl(MEMBERS))
     found = compared(alive, whole, num, den)
     return known.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 

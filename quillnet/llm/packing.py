@@ -36,7 +36,7 @@ CAPACITY, END = 4096, 1
 PIECE = "doc_id long, piece long, start long, length long, ids_crc32 long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Characters classed at once, and the longest piece left to the byte ranks.
-CHUNK, LONGEST = 1 << 20, 400
+CHUNK, LONGEST = 1 << 19, 400
 #: Classes of code points; NOT_PLAIN leaves a text to the tokenizer itself.
 SPACE, LETTER, NUMBER, MARK, NOT_PLAIN = 0, 1, 2, 3, 9
 #: Blocks whose code points are classed: Latin, Greek and Cyrillic, punctuation, kana, Han, Hangul, full-width forms.

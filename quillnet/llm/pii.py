@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillnet.llm.common import few_rows
+
 KINDS = ("email", "ip", "card", "phone", "crf_phone", "crf_id")
 
 # The forms of the base kinds. A run of one class is entered only at its start, which is where the
@@ -404,7 +406,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, rows = [t or "" for t in batch.column(1).to_pylist()], []
             at = 0
             while at < len(texts):

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillnet.llm.common import few_rows
+
 MOST_TOXIC, MOST_CLEAN = 1200, 2400
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 4, 3, 5
 WINDOW, BLANKS = 12, 12
 EPOCHS, RATE, SEED, FEWEST, FLOOR, DECAY = 40, 1.0, 7, 4, 1e-4, 1e-2
 #: Characters that are read at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Code points below this have a case and class of their own; those above count as letters.
 PLAIN = 1 << 16
 _letters = np.zeros(0, bool)
@@ -222,7 +224,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def run(batches):
         folded, bias = shared.value
-        for batch in batches:
+        for batch in few_rows(batches):
             scores = score([t or "" for t in batch.column(1).to_pylist()], folded, bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -237,7 +239,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         folded, bias = shared.value
-        for batch in batches:
+        for batch in few_rows(batches):
             keep = score([t or "" for t in batch.column(at).to_pylist()], folded, bias) < 0.5
             yield batch.filter(pa.array(keep))
 

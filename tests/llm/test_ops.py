@@ -265,11 +265,12 @@ def test_words_that_cancel_out(spark):
     assert Counter(map(tuple, ngram_join.near_components(table(spark, rows), 4, 85, 100).collect())) == near(rows, 4, 85, 100)
 
 
-def test_linked_bounds():
+def test_linked_bounds(monkeypatch):
     rng = np.random.default_rng(5)
     for _ in range(60):
         sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(6)]
         sizes = np.array([len(s) for s in sets])
+        monkeypatch.setattr(ngram_join, "STRETCH", int(rng.integers(1, 60)))
         exact = ngram_join.linked(sets, sizes, 60, 100)
         for i in range(6):
             for j in range(6):
