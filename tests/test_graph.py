@@ -148,6 +148,51 @@ def test_scoped_aliases(graph):
     assert [(r.node, r.surface, r.expansion) for r in align.scoped_aliases(graph[0]).collect()] == [("absolute-continuity", "AC", "Absolute continuity")]
 
 
+def test_plain_labels():
+    assert T.strip_latex(r"  $\sigma$-\text{finite} \foo{x}, ") == "σ-finite x"
+    assert T.strip_latex(r"\operatorname {ab}c\Omega*") == "abcΩ*" and T.strip_latex(r"a\b{c}") == "a c"
+    assert T.strip_markdown(" <**Bold** `code` ~x~_y_> ") == "Bold code xy"
+    assert T.strip_typst("#strong[Wide] $sigma$ #emph[pipe pi];") == "Wide σ pipe π"
+
+
+def test_forms_of_introduction():
+    told = lambda text: [(s, e) for s, e, _ in align.introduced(text)]
+    assert told("We use QED (quantum electro dynamics) here.") == [("QED", "quantum electro dynamics")]
+    assert told("LRU stands for least recently used - , and so on.") == [("LRU", "least recently used")]
+    assert told("A write ahead log, abbreviated as WAL, helps.")[-1][0] == "WAL"
+    assert told("no forms (here), not even (A) or (nothing at all)") == []
+
+
+def test_diff_counts_nulls(spark):
+    schema = "k long, a string, b string"
+    old = spark.createDataFrame([(1, None, "x"), (2, None, None), (3, "x", "y"), (4, None, None)], schema)
+    new = spark.createDataFrame([(1, "x", None), (2, None, None), (3, "x", "y"), (5, None, None)], schema)
+    assert sorted(map(tuple, sync.diff(old, new, ["k"]).collect())) == [(1, "updated"), (4, "removed"), (5, "added")]
+
+
+def test_delta_refuses(spark):
+    nodes = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "id string, active boolean")
+    edge = "src string, rel string, dst string"
+    edges = spark.createDataFrame([("a", "r", "b"), ("a", "r", "c")], edge)
+    put = spark.createDataFrame([("c", "r", "b", 1), ("c", "r", "nowhere", 1), ("c", "r", "a", 1)], edge + ", n int")
+    gone = spark.createDataFrame([("a",), ("b",)], "id string")
+    out, left, refused = sync.apply_delta(nodes, edges, gone, nodes.limit(0).withColumn("n", F.lit(0)), edges.limit(0), put)
+    assert sorted(r.id for r in out.collect()) == ["a", "c"]
+    assert sorted(map(tuple, left.collect())) == [("a", "r", "c"), ("c", "r", "a")]
+    assert sorted(map(tuple, refused.collect())) == [("edge", "c r b"), ("edge", "c r nowhere"), ("node", "a")]
+    refs = spark.createDataFrame([(1, "b"), (2, "c"), (3, "unknown")], "n int, target string")
+    assert sorted(r.n for r in sync.remaining_references(refs, nodes, out).collect()) == [2, 3]
+
+
+def test_long_chain_is_peeled(spark):
+    chain = spark.range(20_000).select(F.col("id").cast("string").alias("src"), (F.col("id") + 3).cast("string").alias("dst"))
+    assert cycle_remainder(chain).count() == 0
+    looped = chain.unionByName(spark.createDataFrame([("9", "3")], "src string, dst string"))
+    for one_task in (500_000, 3):
+        part = looped if one_task > 3 else looped.where("cast(src as int) < 20")
+        assert sorted(map(tuple, cycle_remainder(part, one_task).collect())) == [("3", "6"), ("6", "9"), ("9", "3")]
+
+
 def test_long_expansions():
     words = [c.lower() + "o" * 24 for c in "ABCDEFGHIJKLMNOP"]
     wide = "graph" + " " * 150 + "data" + "é " * 60 + "base"
