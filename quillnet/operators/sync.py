@@ -21,11 +21,12 @@ def renames(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, status): rows added, removed or updated between two generations of one table."""
-    rest = [c for c in new.columns if c not in keys]
-    print_of = lambda df: F.xxhash64(*[F.col(c) for c in rest]) if rest else F.lit(0)
-    rows = old.select(*keys, print_of(old).alias("was")).join(new.select(*keys, print_of(new).alias("now")), keys, "full_outer")
-    return rows.select(*keys, F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "updated").alias("status")).where("status is not null")
+    """(keys, status): rows added, removed or updated between two generations of one table; nulls count as values."""
+    rest = [F.col(c) for c in new.columns if c not in keys]
+    held = lambda df, name: df.select(*keys, F.struct(F.lit(True).alias("__there"), *rest).alias(name))
+    rows = held(old, "was").join(held(new, "now"), keys, "full_outer")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "updated")
+    return rows.select(*keys, status.alias("status")).where("status is not null")
 
 
 def orphans(nodes: DataFrame, scanned: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,22 +67,34 @@ def edge_curation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def apply_delta(nodes: DataFrame, edges: DataFrame, remove_nodes: DataFrame, put_nodes: DataFrame, remove_edges: DataFrame, put_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges after a delta, and the removals it refused.
+    """Nodes and edges after a delta, and what it refused: (kind, id), nodes by id and edges as src rel dst.
 
-    Only nodes that are not active may go, with their edges. Nodes and edges are put by key; of several rows with one
-    key in the delta the last by ``n`` wins; edges are removed before others are put.
+    Only nodes that are not active may go, with their edges; an edge that the delta puts at a node that goes, or at one
+    that is not there, is refused. Nodes and edges are put by key; of several rows with one key in the delta the last by
+    ``n`` wins; edges are removed before others are put. What refers to nodes that went is for ``remaining_references``.
     """
-    refused = nodes.where("coalesce(active, true)").join(remove_nodes.select("id"), "id", "left_semi").select("id")
-    gone = remove_nodes.select("id").join(refused, "id", "left_anti")
+    kept = nodes.where("coalesce(active, true)").join(remove_nodes.select("id"), "id", "left_semi").select("id")
+    gone = remove_nodes.select("id").join(kept, "id", "left_anti")
     last = lambda df, keys: df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n")))).where("__k = 1").drop("__k", "n")
     new_nodes = last(put_nodes, ["id"])
     out = nodes.join(gone, "id", "left_anti").join(new_nodes.select("id"), "id", "left_anti").unionByName(new_nodes, allowMissingColumns=True)
     keys = ["src", "rel", "dst"]
-    new_edges = last(put_edges, keys)
-    left = edges.join(remove_edges.select(*keys), keys, "left_anti").join(new_edges.select(*keys), keys, "left_anti").unionByName(new_edges, allowMissingColumns=True)
+    asked = last(put_edges, keys)
+    there = lambda rows, how: rows.join(out.select(F.col("id").alias("src")), "src", how)
+    new_edges = there(asked, "left_semi").join(out.select(F.col("id").alias("dst")), "dst", "left_semi")
+    left = edges.join(remove_edges.select(*keys), keys, "left_anti").join(new_edges.select(*keys), keys, "left_anti")
+    lost = gone.join(new_nodes.select("id"), "id", "left_anti")
     for side in ("src", "dst"):
-        left = left.join(gone.withColumnRenamed("id", side), side, "left_anti")
-    return out, left.select(*edges.columns), refused
+        left = left.join(lost.withColumnRenamed("id", side), side, "left_anti")
+    left = left.unionByName(new_edges, allowMissingColumns=True)
+    bad = asked.select(*keys).join(new_edges.select(*keys), keys, "left_anti").select(F.lit("edge").alias("kind"), F.concat_ws(" ", *keys).alias("id"))
+    return out, left.select(*edges.columns), kept.select(F.lit("node").alias("kind"), "id").unionByName(bad)
+
+
+def remaining_references(refs: DataFrame, nodes: DataFrame, nodes_after: DataFrame) -> DataFrame:
+    """``refs`` (target, ...) without those whose target a delta removed; references that named no node before stay as they were."""
+    gone = nodes.select("id").join(nodes_after.select("id"), "id", "left_anti")
+    return refs.join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select(*refs.columns)
 
 
 def taxonomy(definitions: DataFrame, topics: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
