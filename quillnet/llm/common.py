@@ -65,7 +65,9 @@ def by_class(rows: DataFrame, classes: DataFrame, key: str, many: str) -> DataFr
     large = F.col(many) * MOST_HOT > total
     held = F.struct(*[c for c in classes.columns if c != key])
     hot = classes.where(large).select(F.col(key).alias("__hot"), held.alias("__hot_class"))
-    cold = classes.where(~large).select(F.col(key).alias("__key"), F.lit(0).cast("long").alias("__zero"), held.alias("__cold_class"))
+    # Always 0, but no literal: that would be folded out of the join's keys, and with it the spreading.
+    zero = F.pmod(F.col(many).cast("long"), F.lit(1))
+    cold = classes.where(~large).select(F.col(key).alias("__key"), zero.alias("__zero"), held.alias("__cold_class"))
     met = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     met = met.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).cast("long"))
     met = met.join(cold, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left").withColumn("__class", F.coalesce("__hot_class", "__cold_class"))

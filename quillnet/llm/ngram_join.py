@@ -486,9 +486,11 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     fragments = max(4, (shuffle_parts(spark) - 1).bit_length() + 1)
     starts = cut(rows.mapInArrow(prefixes(width, num, den, shared), ddl(PREFIXES)))
     postings = starts.mapInArrow(by_fragment(fragments), ddl(POSTINGS)).repartition("fragment").sortWithinPartitions("fragment")
-    stars = postings.mapInArrow(starred(num, den), ddl(STARS)).distinct()
+    stars = cut(postings.mapInArrow(starred(num, den), ddl(STARS)).distinct())
     leads, joins = named.select(F.col("doc_id").alias("leader"), F.col("rep").alias("lead")), named.withColumnRenamed("doc_id", "member")
-    met = stars.join(leads, "leader").join(joins, "member").where("rep <> lead").select(F.col("lead").alias("leader"), "rep", "size").distinct()
+    # A passage that very many documents share makes one of them the leader of them all.
+    leaders = stars.groupBy("leader").agg(F.count("*").alias("many")).join(leads, "leader")
+    met = by_class(stars, cut(leaders), "leader", "many").where("lead is not null").drop("many").join(joins, "member").where("rep <> lead").select(F.col("lead").alias("leader"), "rep", "size").distinct()
     met = cut(met)
     heads = met.select("leader").distinct().join(named.select(F.col("doc_id").alias("leader"), "size"), "leader").select("leader", F.col("leader").alias("rep"), "size")
     meeting = met.select("rep").unionByName(met.select(F.col("leader").alias("rep"))).distinct()
