@@ -494,13 +494,16 @@ def near_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     met = cut(met)
     heads = met.select("leader").distinct().join(named.select(F.col("doc_id").alias("leader"), "size"), "leader").select("leader", F.col("leader").alias("rep"), "size")
     meeting = met.select("rep").unionByName(met.select(F.col("leader").alias("rep"))).distinct()
-    standing = cut(named.select("doc_id", "rep").join(meeting, "rep", "left_semi"))
+    # A class of copies may hold a third of all rows, so rows meet their class by ``by_class`` here and at the end.
+    copies = known.groupBy("rep").agg(F.count("*").alias("many"))
+    meeting = cut(meeting.join(copies, "rep").withColumn("meets", F.lit(True)))
+    standing = cut(by_class(named.select("doc_id", "rep"), meeting, "rep", "many").where("meets").select("doc_id", "rep"))
     begun = sieved(starts, spark.sparkContext.broadcast(sieve(standing, "doc_id"))).join(standing, "doc_id").select("rep", "size", "grams")
     alive = compared(met.unionByName(heads), begun, num, den)
     alive = cut(alive.join(named.select(F.col("doc_id").alias("node"), "size"), "node").select(F.col("component").alias("leader"), F.col("node").alias("rep"), "size"))
     whole = rows.mapInArrow(members(width, shared, spark.sparkContext.broadcast(sieve(alive, "rep"))), ddl(MEMBERS))
-    found = compared(alive, whole, num, den)
-    return known.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    found = cut(compared(alive, whole, num, den).withColumnRenamed("node", "rep").join(copies, "rep"))
+    return by_class(known, found, "rep", "many").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def first_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
