@@ -88,3 +88,41 @@ def edge_quality(edges: DataFrame) -> DataFrame:
         blank = F.coalesce(F.col(c).cast("string"), F.lit("")).rlike(r"(?U)^\s*$") if c in edges.columns else F.lit(True)
         counts.append(F.struct(F.lit(f"missing-{c}").alias("counter"), F.count_if(blank).alias("n")))
     return rows.agg(F.array(*counts).alias("all")).select(F.inline("all"))
+
+
+def active_knowledge(nodes: DataFrame) -> DataFrame:
+    return nodes.where("typ = 'knowledge' and coalesce(active, false)").withColumn("entered", F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
+
+
+def file_coverage(nodes: DataFrame) -> DataFrame:
+    """(authority, nodes, entries, state) of each file with active knowledge: complete, partial or pending as all, some or none
+    of its nodes have a text that is not blank. ``nodes`` has the column authority; no authority is the file ''."""
+    rows = active_knowledge(nodes).groupBy(F.coalesce("authority", F.lit("")).alias("authority")).agg(F.count("*").alias("nodes"), F.count_if("entered").alias("entries"))
+    return rows.withColumn("state", F.when(F.col("entries") == F.col("nodes"), "complete").when(F.col("entries") > 0, "partial").otherwise("pending"))
+
+
+def active_edges(active: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, src_course, dst_course): semantic edges whose ends are both active knowledge."""
+    side = lambda c: active.select(F.col("id").alias(c), F.col("course").alias(f"{c}_course"))
+    return edges.where("rel <> 'contains'").select("src", "dst").join(side("src"), "src").join(side("dst"), "dst")
+
+
+def cross_course(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, n: semantic edges between active knowledge of two courses, both named. ``nodes`` has the column course."""
+    return active_edges(active_knowledge(nodes), edges).agg(F.count_if(F.expr("src_course <> '' and dst_course <> '' and src_course <> dst_course")).alias("n"))
+
+
+def course_statistics(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """(course, nodes, entries, entry_ratio, semantic_nodes, isolated_nodes, references) over active knowledge.
+
+    ``nodes`` has the columns authority and course; no course is 'unknown'. A file's references count for the course of
+    its node of smallest id. References are counted by file before they meet the files, so a large file is one row.
+    """
+    active = active_knowledge(nodes).withColumn("authority", F.coalesce("authority", F.lit("")))
+    linked = active_edges(active, edges).select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("linked", F.lit(1))
+    course = F.coalesce("course", F.lit("unknown")).alias("course")
+    rows = active.join(linked, "id", "left").groupBy(course).agg(F.count("*").alias("nodes"), F.count_if("entered").alias("entries"), F.count("linked").alias("semantic_nodes"))
+    homes = active.groupBy("authority").agg(F.min_by(course, "id").alias("course"))
+    told = refs.groupBy("authority").agg(F.count("*").alias("n")).join(homes, "authority").groupBy("course").agg(F.sum("n").alias("references"))
+    ratio = F.round(F.col("entries") / F.col("nodes"), 6)
+    return rows.join(told, "course", "left").select("course", "nodes", "entries", ratio.alias("entry_ratio"), "semantic_nodes", (F.col("nodes") - F.col("semantic_nodes")).alias("isolated_nodes"), F.coalesce("references", F.lit(0)).alias("references"))

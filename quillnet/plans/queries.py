@@ -156,6 +156,14 @@ def ppr_20(spark, sf):
     return traverse.pagerank(nodes, edges, {first: 2.0, second: 1.0, "part-none": 1.0}, iterations=PPR_STEPS, tolerance=0.0, limit=None).where("score > 1e-8").withColumn("score", F.round("score", 9))
 
 
+#: No path of visible edges is longer: prerequisites lead to parts without any, and suppliers lead nowhere.
+@query(f"""WITH RECURSIVE {N}, {VISIBLE}, {SEEDS}, r AS (SELECT id, id seed, 0 d FROM sd UNION SELECT e.dst, r.seed, r.d+1 FROM r JOIN ve e ON e.src=r.id WHERE r.d<8)
+SELECT id, arg_min(seed, (d, seed)) seed FROM r GROUP BY 1""")
+def ppr_owners(spark, sf):
+    nodes, edges = policy.visible(*graph(spark, sf))
+    return traverse.seed_owners(nodes, edges, first_parts(nodes))
+
+
 @query("WITH RECURSIVE m AS (SELECT p_partkey a, p_partkey+7 b FROM part WHERE p_partkey%3=0 AND p_partkey+7 IN (SELECT p_partkey FROM part)), e AS (SELECT a,b FROM m UNION SELECT b,a FROM m), r AS (SELECT a x, a y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a=r.y) SELECT 'part-'||x node, min('part-'||y) component FROM r GROUP BY 1")
 def components_prerequisites(spark, sf):
     steps = P.edges(spark, sf).where("rel = 'prerequisite-for'")
@@ -213,6 +221,38 @@ def audit_edge_quality(spark, sf):
     return audit.edge_quality(edges)
 
 
+#: Nodes with their file and course: parts by brand, every other size without an entry; suppliers in no course.
+FILED = """filed AS (SELECT 'part-'||p_partkey id, CASE WHEN p_size%2=0 THEN ' ' ELSE p_type END txt, 'orders/'||(p_partkey%500)||'.md' authority, p_brand course FROM part
+UNION ALL SELECT 'supplier-'||s_suppkey, NULL, 'suppliers/'||(s_suppkey%10)||'.md', NULL FROM supplier WHERE s_acctbal>=0 AND s_suppkey%4<>0),
+linked AS (SELECT e.src, e.dst, a.course ac, b.course bc FROM edges e JOIN filed a ON a.id=e.src JOIN filed b ON b.id=e.dst WHERE rel<>'contains')"""
+
+
+def filed(spark, sf):
+    part, supplier = P.table(spark, sf, "part"), P.table(spark, sf, "supplier")
+    homes = part.select(P.named("part", "p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_type")).alias("text"), F.concat(F.lit("orders/"), (F.col("p_partkey") % 500).cast("string"), F.lit(".md")).alias("authority"), F.col("p_brand").alias("course")).unionByName(
+        supplier.select(P.named("supplier", "s_suppkey").alias("id"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("suppliers/"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".md")).alias("authority"), F.lit(None).cast("string").alias("course"))
+    )
+    return P.nodes(spark, sf).drop("text").join(homes, "id", "left")
+
+
+@query(f"WITH {N}, {FILED} SELECT authority, count(*) nodes, count(*) FILTER (trim(coalesce(txt,''))<>'') entries, CASE WHEN count(*) FILTER (trim(coalesce(txt,''))<>'')=count(*) THEN 'complete' WHEN count(*) FILTER (trim(coalesce(txt,''))<>'')>0 THEN 'partial' ELSE 'pending' END state FROM filed GROUP BY 1")
+def audit_files(spark, sf):
+    return audit.file_coverage(filed(spark, sf))
+
+
+@query(f"WITH {N}, {FILED} SELECT count(*) n FROM linked WHERE ac<>bc")
+def audit_cross_course(spark, sf):
+    return audit.cross_course(filed(spark, sf), P.edges(spark, sf))
+
+
+@query(f"""WITH {N}, {FILED}, met AS (SELECT src id FROM linked UNION SELECT dst FROM linked), home AS (SELECT authority, coalesce(arg_min(coalesce(course,'unknown'), id),'unknown') course FROM filed GROUP BY 1),
+told AS (SELECT course, count(*) n FROM refs JOIN home USING (authority) GROUP BY 1),
+per AS (SELECT coalesce(course,'unknown') course, count(*) nodes, count(*) FILTER (trim(coalesce(txt,''))<>'') entries, count(*) FILTER (id IN (SELECT id FROM met)) semantic_nodes FROM filed GROUP BY 1)
+SELECT course, nodes, entries, round(entries/nodes,6) entry_ratio, semantic_nodes, nodes-semantic_nodes isolated_nodes, coalesce(n,0)::BIGINT AS "references" FROM per LEFT JOIN told USING (course)""")
+def audit_courses(spark, sf):
+    return audit.course_statistics(filed(spark, sf), P.edges(spark, sf), P.references(spark, sf))
+
+
 @query("SELECT source, count(*) documents, sum(length(text))::BIGINT characters, sum(strlen(text))::BIGINT AS \"bytes\", count(DISTINCT sha256(text)) texts FROM documents GROUP BY 1")
 def document_inventory(spark, sf):
     return audit.inventory(P.table(spark, sf, "documents"))
@@ -473,6 +513,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-
-

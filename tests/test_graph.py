@@ -60,6 +60,43 @@ def test_expand_and_rank(graph):
     assert loop.keys() == task.keys() and all(abs(loop[k] - task[k]) < 1e-12 for k in task)
 
 
+def first_owner(edges, seeds):
+    """Breadth-first search one node at a time, seeds and neighbours by id."""
+    owner = {s: s for s in sorted(seeds)}
+    queue = list(owner)
+    while queue:
+        x = queue.pop(0)
+        for y in sorted(v for u, v in edges if u == x):
+            if y not in owner:
+                owner[y] = owner[x]
+                queue.append(y)
+    return owner
+
+
+def test_seed_owners(spark):
+    rng = random.Random(5)
+    ids = [f"n{k:02}" for k in range(40)]
+    pairs = sorted({(rng.choice(ids), rng.choice(ids)) for _ in range(55)})
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    edges = spark.createDataFrame([(u, "implies", v) for u, v in pairs], "src string, rel string, dst string")
+    seeds = ["n31", "n04", "n17", "none"]
+    want = first_owner(pairs, seeds[:3])
+    for small in (0, 500_000):
+        assert {r["id"]: r["seed"] for r in traverse.seed_owners(nodes, edges, seeds, small=small).collect()} == want
+
+
+def test_files_and_courses(spark):
+    rows = [("a", "x.md", "one", "said", True), ("b", "x.md", "two", " \n", True), ("c", "y.md", None, "said", True), ("d", "z.md", "", None, True), ("e", "z.md", "two", "said", None), ("f", None, "two", "", True)]
+    nodes = spark.createDataFrame(rows, "id string, authority string, course string, text string, active boolean").withColumn("typ", F.lit("knowledge"))
+    edges = spark.createDataFrame([("a", "implies", "b"), ("a", "implies", "c"), ("d", "implies", "a"), ("a", "implies", "e"), ("b", "contains", "f")], "src string, rel string, dst string")
+    refs = spark.createDataFrame([("x.md",), ("x.md",), ("y.md",), ("gone.md",)], "authority string")
+    assert {(r.authority, r.nodes, r.entries, r.state) for r in audit.file_coverage(nodes).collect()} == {("x.md", 2, 1, "partial"), ("y.md", 1, 1, "complete"), ("z.md", 1, 0, "pending"), ("", 1, 0, "pending")}
+    assert audit.cross_course(nodes, edges).first()["n"] == 1
+    assert {tuple(r) for r in audit.course_statistics(nodes, edges, refs).collect()} == {("one", 1, 1, 1.0, 1, 0, 2), ("two", 2, 0, 0.0, 1, 1, 0), ("unknown", 1, 1, 1.0, 1, 0, 1), ("", 1, 0, 0.0, 1, 0, 0)}
+    none = nodes.limit(0)
+    assert audit.file_coverage(none).isEmpty() and audit.course_statistics(none, edges, refs).isEmpty() and audit.cross_course(none, edges).first()["n"] == 0
+
+
 def fifo(adjacent, seeds, depth, limit):
     """Breadth-first search one node at a time."""
     seen, queue, walked = {s: 0 for s in seeds}, list(seeds), set()
