@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillnet.llm import exact_dedup, mixing, ngram_join, packing, pii, secrets, toxicity, vector_join, warc
+from quillnet.llm import common, exact_dedup, mixing, ngram_join, packing, pii, secrets, toxicity, vector_join, warc
 
 TEXT = "doc_id long, text string, lang string, source string, size long, length long, kept boolean, hash string"
 
@@ -246,6 +246,16 @@ def test_ngram_join(spark, docs, monkeypatch):
     assert ngram_join.first_documents(more).columns == more.columns
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_ngram_join_of_copies(spark, monkeypatch, most):
+    """Classes of copies that meet their rows by a join, all of them or those below a quarter of the rows."""
+    monkeypatch.setattr(common, "MOST_HOT", most)
+    base = [f"t{k}" for k in range(60)]
+    rows = [(100 + k, " ".join(base), "a") for k in range(12)] + [(50 + k, " ".join([*base[:59], "end"]), "a") for k in range(3)]
+    rows += [(k, " ".join(f"u{k}x{j}" for j in range(20)), "b") for k in range(5)] + [(9, " ".join(f"u1x{j}" for j in range(20)).upper(), "b"), (200, None, "b"), (201, "", "b"), (None, " ".join(base), "a")]
+    assert Counter(map(tuple, ngram_join.near_components(table(spark, rows), 4, 85, 100).collect())) == near(rows, 4, 85, 100)
+
+
 def test_first_documents_of_odd_ids(spark):
     base = " ".join(f"w{k}" for k in range(100))
     rows = [(None, base, "x"), (None, base + " end", "x"), (None, "alone without an id", "x"), (5, base + " last", "x"), (6, "twice six " * 9, "x"), (6, "another text of six here", "x"), (6, "another text of six here", "x"), (7, None, "x"), (None, "", "x")]
